@@ -14,6 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_quality import line_quality
+
+    return line_quality(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -39,6 +51,19 @@ def op7_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, pieces
+
+    return pack(pieces(_table(spark, sf_dir, "documents")))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -46,12 +71,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
+    "op3_line_quality": op3_line_quality,
     "op5_mix_sources": op5_mix_sources,
     "op7_format_chats": op7_format_chats,
+    "op8_language_id": op8_language_id,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_url_filter": op10_url_filter,
 }
 
 SQL: dict[str, str] = {
+    "op2_near_duplicates": sql.OP2,
+    "op3_line_quality": sql.OP3,
     "op5_mix_sources": sql.OP5,
     "op7_format_chats": sql.OP7,
     "op10_url_filter": sql.OP10,

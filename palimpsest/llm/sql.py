@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_quality, mixing, near_dup
 from .url_filter import RULES
 
 _WORDS = r"len(regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+'))"
@@ -46,6 +46,54 @@ rounds AS (SELECT *, CASE WHEN shard_size > 0 THEN due // shard_size ELSE 0 END
 mixed AS (SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(stop, due - rounds * shard_size) - (stop - size)))::BIGINT AS taken FROM rounds)"""
 
 
+def near_dup_ctes(docs: str, percent: int) -> str:
+    """CTEs over ``docs`` (rid, doc_id, text) that end in ``grouped`` (rid, doc_id, n_shingles, component_id)."""
+    n = near_dup.WORDS
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""
+n1 AS (SELECT rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {docs}),
+n2 AS (SELECT DISTINCT rid, s FROM (
+  SELECT rid, {shingle} AS s FROM (SELECT rid, w, unnest(range(1, len(w) - {n - 2})) AS i FROM n1 WHERE len(w) >= {n})
+  UNION ALL SELECT rid, array_to_string(w, ' ') FROM n1 WHERE len(w) BETWEEN 1 AND {n - 1})),
+n3 AS (SELECT rid, count(*) AS n FROM n2 GROUP BY rid),
+n4 AS (SELECT x.rid AS a, y.rid AS b, count(*) AS met FROM n2 x JOIN n2 y ON x.s = y.s AND x.rid <> y.rid GROUP BY ALL),
+n5 AS MATERIALIZED (SELECT a, b FROM n4 JOIN n3 x ON x.rid = a JOIN n3 y ON y.rid = b WHERE 100 * met >= {percent} * (x.n + y.n - met)),
+n6(rid, reached) AS (SELECT rid, rid FROM n1 UNION SELECT n6.rid, n5.b FROM n6 JOIN n5 ON n5.a = n6.reached),
+n7 AS (SELECT n6.rid, min(n1.doc_id) AS component_id FROM n6 JOIN n1 ON n1.rid = n6.reached GROUP BY n6.rid),
+grouped AS (SELECT n1.rid, n1.doc_id, coalesce(n3.n, 0)::BIGINT AS n_shingles, n7.component_id FROM n1 LEFT JOIN n3 USING (rid) JOIN n7 USING (rid))"""
+
+
+OP2 = f"WITH RECURSIVE src AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), {near_dup_ctes('src', near_dup.PERCENT)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM grouped"
+
+
+def _any(column: str, needles) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{n}')" for n in needles) + ")"
+
+
+def quality_ctes(docs: str) -> str:
+    """CTEs over ``docs`` (rid, doc_id, text) that end in ``judged`` (rid, doc_id, the counts, base_failed, left_words, kept)."""
+    q = line_quality
+    word = r"'[^\x20\x09-\x0D]+'"
+    symbols = f"length(l) - length(regexp_replace(l, '[{q.SYMBOLS}]', '', 'g'))"
+    seps = " + ".join(f"len(list_filter(w, lambda x: x = '{s}'))" for s in q.SEPARATORS)
+    low = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fails = f"""(NOT {_any('l', q.SENTENCE_MARKS)} OR (n >= 4 AND 2 * len(list_filter(w, lambda x: ends_with(x, '!'))) > n) OR 2 * ({symbols}) > n
+      OR (({seps}) >= 2 AND 5 * ({seps}) >= n) OR (n >= {q.FILLER_WORDS} AND 4 * len(list_distinct(w)) <= n) OR {_any(low, q.BOILERPLATE)})"""
+    return f"""
+q1 AS (SELECT rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS w FROM {docs}),
+qline AS (SELECT rid, l, regexp_extract_all(l, {word}) AS w FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM q1)),
+qfail AS (SELECT rid, l, n, {fails} AS bad FROM (SELECT *, len(w) AS n FROM qline WHERE len(w) > 0)),
+qlines AS (SELECT rid, count(*) - count(DISTINCT l) AS n_dup_lines, sum(CASE WHEN bad THEN 0 ELSE n END) AS left_words FROM qfail GROUP BY rid),
+qwin AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM q1 WHERE len(w) >= 3)),
+qrep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, win) AS c FROM qwin) WHERE c > 1) GROUP BY rid),
+qbase AS (SELECT rid, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[{q.SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(left_words, 0)::BIGINT AS left_words FROM q1 LEFT JOIN qlines USING (rid) LEFT JOIN qrep USING (rid)),
+qfailed AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM qbase),
+judged AS (SELECT *, NOT base_failed AND 100 * left_words >= {q.LEAST_LEFT} * n_words AS kept FROM qfailed)"""
+
+
+OP3 = f"WITH src AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents), {quality_ctes('src')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, left_words, kept FROM judged"
+
 OP5 = f"WITH {mix_ctes('documents')} SELECT doc_id, size, source_size, target, taken FROM mixed"
 
 _ESCAPED = "(length({0}) + length({0}) - length(replace({0}, '\\', '')) + length({0}) - length(replace({0}, '<', '')) + length({0}) - length(replace({0}, '[', '')) + length({0}) - length(replace({0}, '|', '')))"
