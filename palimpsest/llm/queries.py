@@ -32,6 +32,12 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 def op7_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat_format import format_chats, read_back, turn_events
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_line_quality": op3_line_quality,
     "op5_mix_sources": op5_mix_sources,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_format_chats": op7_format_chats,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
