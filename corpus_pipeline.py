@@ -1,13 +1,79 @@
-"""The corpus pipeline: language, quality, near-dedup, mix, packing."""
+"""The corpus pipeline over ``documents``: language, quality, near-duplicates, mix, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, so the
+driver can write each one's result as Parquet and hand it to the next.  Language identification cannot be written in SQL, so
+there is no SQL for the whole; the tests hold each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import cut, small_side
+from palimpsest.llm.language_id import identify
+from palimpsest.llm.line_quality import line_quality
+from palimpsest.llm.mixing import mix
+from palimpsest.llm.near_dup import near_duplicates
+from palimpsest.llm.packing import pack, pieces
+
+#: Similarity in percent of five-word shingles at which documents are near-duplicates.
+SIMILAR = 80
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is recognised; a missing language label is filled in."""
+    found = identify(docs, keep=docs.columns).where(~F.col("rejected"))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines that fail."""
+    judged = line_quality(docs, keep=docs.columns, cleaned=True).where("kept")
+    return judged.withColumn("text", F.col("cleaned_text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest doc_id; a repeated row stays once."""
+    judged = cut(near_duplicates(docs, percent=SIMILAR))
+    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(small_side(cut(gone)), "doc_id", "left_anti")
+    # only ids that occur again are looked at for repeated rows, so other texts do not travel
+    again = judged.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    again = small_side(cut(again))
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, rounded to whole copies; rows of one doc_id share what it takes."""
+    taken = mix(docs).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
+    taken = taken.where("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
+    copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_n"))).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens.  Copies of a document are told apart by ``copy``, from 1."""
+    packed = pack(pieces(docs))
+    order = Window.partitionBy("doc_id", "piece").orderBy("sequence_id", "offset")
+    return packed.withColumn("copy", F.row_number().over(order))
+
+
+STAGES = [
+    ("language ID", language),
+    ("quality rules", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("mixing sources", mixing),
+    ("best-fit packing", packing),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)  # the next stage reads its input more than once
     return docs

@@ -32,6 +32,12 @@ def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wrapper import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_line_quality": op3_line_quality,
+    "op4_main_text": op4_main_text,
     "op5_mix_sources": op5_mix_sources,
     "op6_pitman_yor": op6_pitman_yor,
     "op7_format_chats": op7_format_chats,
