@@ -145,7 +145,7 @@ def check_edits(edits: DataFrame, revs: DataFrame) -> DataFrame:
     best = docs(revs).select("id", "winning_rev", F.col("deleted").alias("_gone"))
     asked = edits.join(best, "id", "left").join(tops, ["id", "parent"], "left")
     fits = F.when(F.col("parent").isNotNull(), F.coalesce("_leaf", F.lit(False))).otherwise(F.coalesce("_gone", F.lit(True)))
-    asked = asked.withColumn("parent", F.coalesce("parent", F.when(F.col("_gone"), F.col("winning_rev")))).withColumn("_fits", fits)
+    asked = asked.withColumn("_fits", fits).withColumn("parent", F.coalesce("parent", F.when(F.col("_gone"), F.col("winning_rev"))))
     turn = F.row_number().over(Window.partitionBy("id", "parent", "_fits").orderBy("pos"))
     status = F.when(F.col("_fits") & (turn == 1), "ok").otherwise("conflict")
     return asked.withColumn("status", status).withColumn("gen", F.coalesce(rev_generation(F.col("parent")), F.lit(0)) + 1).drop("_fits", "_leaf", "_gone", "winning_rev")
