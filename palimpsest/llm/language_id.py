@@ -29,7 +29,7 @@ ORDER, DISCOUNT = 4, 0.75
 SAMPLE, LANGUAGES = 1500, 500
 
 #: How many deviations above the usual cross-entropy of its language a text of usual length may lie.
-REJECT_AT = 8.0
+REJECT_AT = 20.0
 
 #: Sharpness of the score, the share of the best language among exp(-SHARP * cross-entropy).
 SHARP = 10.0
