@@ -1,7 +1,7 @@
 """The corpus pipeline over ``documents``: language, quality, near-duplicates, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, so the
-driver can write each one's result as Parquet and hand it to the next.  Language identification cannot be written in SQL, so
+driver can write each one's result as Parquet and hand it to the next.  Other columns that a table may have are left out.  Language identification cannot be written in SQL, so
 there is no SQL for the whole; the tests hold each stage against a brute-force version.
 """
 
@@ -20,21 +20,31 @@ from palimpsest.llm.packing import pack, pieces
 #: Similarity in percent of five-word shingles at which documents are near-duplicates.
 SIMILAR = 80
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents that the table has, so that others cannot clash with what a stage adds."""
+    return docs.select(*(c for c in COLUMNS if c in docs.columns))
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is recognised; a missing language label is filled in."""
+    docs = _documents(docs)
     found = identify(docs, keep=docs.columns).where(~F.col("rejected"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that fail."""
+    docs = _documents(docs)
     judged = line_quality(docs, keep=docs.columns, cleaned=True).where("kept")
     return judged.withColumn("text", F.col("cleaned_text")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest doc_id; a repeated row stays once."""
+    docs = _documents(docs)
     judged = cut(near_duplicates(docs, percent=SIMILAR))
     gone = judged.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(small_side(cut(gone)), "doc_id", "left_anti")
@@ -46,6 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, rounded to whole copies; rows of one doc_id share what it takes."""
+    docs = _documents(docs)
     taken = mix(docs).groupBy("doc_id").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"))
     taken = taken.where("size > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n")).where("_n > 0")
     copies = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
