@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 CONTENT_PIECE, BODY_PIECE, BODY_WHOLE = 100_000, 250_000, 1_000_000
 
 
+# Fixed value: what a chunk's hash begins with, so that ids are the same wherever chunks are made.
+CHUNK_HEAD = "kuro-chunk\n"
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -27,7 +31,7 @@ def utf16_length(text: Column) -> Column:
 
 def chunk_id(piece: Column) -> Column:
     """The id of a content chunk: equal pieces share one."""
-    named = F.concat(F.lit("kuro-chunk\n"), utf16_length(piece).cast("string"), F.lit("\n"), piece)
+    named = F.concat(F.lit(CHUNK_HEAD), utf16_length(piece).cast("string"), F.lit("\n"), piece)
     return F.concat(F.lit("h:k"), F.substring(F.sha2(named, 256), 1, 40))
 
 

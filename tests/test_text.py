@@ -12,8 +12,8 @@ from palimpsest.operators import content, fulltext, listing
 
 
 def test_words_and_pairs():
-    got = tokens.tokenize("会議室でLiveSyncを使う")
-    assert ("livesync", 4) in got and ("会議", 0) in got and ("議室", 1) in got and ("室で", 2) in got
+    got = tokens.tokenize("会議室でFooBarXを使う")
+    assert ("foobarx", 4) in got and ("会議", 0) in got and ("議室", 1) in got and ("室で", 2) in got
     assert ("会", 0) in got and ("で", 3) in got
     assert tokens.tokenize("ＡＢＣ foo_bar!") == [("abc", 0), ("foo_bar", 4)]
     assert tokens.tokenize("") == tokens.tokenize("、。 !") == []
@@ -26,10 +26,10 @@ def test_covering_tokens():
     assert [p for _, p in phrase] == [0, 2, 4, 6, 8]
 
 
-CORPUS = [("a", "京都の会議室を予約"), ("b", "LiveSync 会議と室"), ("c", "第1回 東京議会"), ("d", "会議室")]
+CORPUS = [("a", "京都の会議室を予約"), ("b", "FooBarX 会議と室"), ("c", "第1回 東京議会"), ("d", "会議室")]
 
 
-@pytest.mark.parametrize("query,want", [("会議室", {"a", "d"}), ("京都", {"a"}), ("議と室", {"b"}), ("都会", set()), ("livesync", {"b"}), ("live", set()), ("第1回", {"c"}), ("会議室 予約", {"a"}), ("", set())])
+@pytest.mark.parametrize("query,want", [("会議室", {"a", "d"}), ("京都", {"a"}), ("議と室", {"b"}), ("都会", set()), ("foobarx", {"b"}), ("foo", set()), ("第1回", {"c"}), ("会議室 予約", {"a"}), ("", set())])
 def test_phrase_search(spark, query, want):
     docs = spark.createDataFrame(CORPUS, "doc_id string, text string")
     hits = fulltext.search_text(fulltext.exact_token_rows(docs), fulltext.lengths(docs), query)
