@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 class StaleHead(Exception):
     """Another commit has taken the number."""
@@ -92,10 +94,10 @@ def reachable(roots: DataFrame, edges: DataFrame, depth: int = 10_000) -> DataFr
     frontier = seen
     for _ in range(depth):
         step = frontier.join(edges.select(F.col("source").alias("node"), "target"), "node").select(F.col("target").alias("node")).distinct()
-        frontier = step.join(seen, "node", "left_anti").checkpoint()
+        frontier = cut(step.join(seen, "node", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier).checkpoint()
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 

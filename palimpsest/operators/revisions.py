@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rev_generation
+from ..session import cut
 
 
 def leaves(revs: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ def descendants(wanted: DataFrame, revs: DataFrame, depth: int = 10_000) -> Data
     frontier = wanted.select("id", "rev").distinct().join(revs.select("id", "rev"), ["id", "rev"], "left_semi").withColumn("at", F.col("rev"))
     reached = frontier
     for _ in range(depth):
-        frontier = frontier.join(edges, ["id", "at"]).select("id", "rev", F.col("child").alias("at")).checkpoint()
+        frontier = cut(frontier.join(edges, ["id", "at"]).select("id", "rev", F.col("child").alias("at")))
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier).checkpoint()
+        reached = cut(reached.unionByName(frontier))
     tops = leaves(revs).select("id", F.col("rev").alias("at"))
     return reached.join(tops, ["id", "at"]).select("id", "rev", F.col("at").alias("leaf")).distinct()
 

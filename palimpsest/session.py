@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, name: str = "palimpsest") -> SparkSession:
@@ -27,3 +28,12 @@ def local_session(cpus: int | None = None, name: str = "palimpsest") -> SparkSes
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data directory; the path is read by Spark alone."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder that the session names; where none is named, as in tests, in a
+    local one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
+    return df.checkpoint()
