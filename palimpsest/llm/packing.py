@@ -14,6 +14,7 @@ doc_id and piece.  An empty table gives an empty result.  Other columns are igno
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,8 +31,9 @@ CAPACITY = 2048
 #: Rows of one length that are ranked in one task, about; a length's rows are split into as many shares as that takes.
 SHARE, SHARES_MOST = 100_000, 4096
 
-#: Distinct chunks of text whose ids a worker remembers at once.
-CACHE = 800_000
+#: Distinct chunks of text whose ids a worker remembers, and how many of them stay when there is no more room: those that
+#: were met first, which are the frequent ones.
+CACHE, CACHE_KEEPS = 450_000, 300_000
 
 # In texts of these characters only, the tokenizer's normal form is the lower case, and its words never cross a space.
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]")
@@ -65,7 +67,8 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self.known) > CACHE:
-            self.known.clear()
+            for c in list(itertools.islice(self.known, CACHE_KEEPS, None)):
+                del self.known[c]
         new = [c for c in chunks if c not in self.known]
         if not new:
             return
@@ -89,6 +92,17 @@ class Encoder:
             yield self._slow(t) if p is None else b"".join(map(self.known.__getitem__, p))
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker process's own, kept from task to task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
     path = tokenizer or default_tokenizer()
@@ -96,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         end = np.zeros(1, "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
