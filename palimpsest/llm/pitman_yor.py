@@ -42,7 +42,7 @@ STRENGTH = (1.0, 1.0, 1.0)
 ONE_BY_ONE = 48
 
 #: Characters of text for each bucket, tokens of a batch that a task sends at once.
-BUCKET_CHARS, BATCH = 48_000_000, 400_000
+BUCKET_CHARS, BATCH = 20_000_000, 400_000
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x100000001B3
 _END = np.uint64(0x1D8E4E27C47D124F)
@@ -226,27 +226,28 @@ class Seating:
     def __init__(self, blob: bytes, r: int):
         self.r = r
         self.word, per_word, self.name, self.count = _unpack(blob)
-        self.at = np.repeat(np.arange(len(self.word), dtype=np.int64), per_word)
-        self.key = self.at * CLASSES + self.name
+        at = np.repeat(np.arange(len(self.word), dtype=np.int64), per_word)
+        self.starts = np.concatenate(([0], np.cumsum(per_word, dtype=np.int64)))[:-1]
+        self.key = at * CLASSES + self.name
         # classes of a word are sorted, so those of one parent stand together
-        parent_key = self.at * PARENTS + (self.name >> LOW)
+        parent_key = at * PARENTS + (self.name >> LOW)
         self.parent_first = _runs(parent_key)
         self.parent_key = parent_key[self.parent_first]
-        self.parent_of = np.cumsum(np.concatenate(([0], (parent_key[1:] != parent_key[:-1]).astype(np.int64)))) if len(parent_key) else np.zeros(0, np.int64)
+        self.parent_of = np.cumsum(np.concatenate(([0], parent_key[1:] != parent_key[:-1])), dtype=np.int32) if len(parent_key) else np.zeros(0, np.int32)
         self.parent_name = self.parent_key % PARENTS
         self.parent_at = self.parent_key // PARENTS
         self.word_first = _runs(self.parent_at)
-        self.tables = np.ones(len(self.key), np.int64)
+        self.tables = np.ones(len(self.key), np.int32)
         self._gather()
-        self.parent_tables = np.ones(len(self.parent_key), np.int64)
+        self.parent_tables = np.ones(len(self.parent_key), np.int32)
         self._gather_parents()
-        self.word_tables = np.ones(len(self.word), np.int64)
+        self.word_tables = np.ones(len(self.word), np.int32)
 
     def _gather(self) -> None:
-        self.parent_count = np.add.reduceat(self.tables, self.parent_first) if len(self.key) else np.zeros(0, np.int64)
+        self.parent_count = np.add.reduceat(self.tables, self.parent_first, dtype=np.int64) if len(self.key) else np.zeros(0, np.int64)
 
     def _gather_parents(self) -> None:
-        self.word_count = np.add.reduceat(self.parent_tables, self.word_first) if len(self.parent_key) else np.zeros(0, np.int64)
+        self.word_count = np.add.reduceat(self.parent_tables, self.word_first, dtype=np.int64) if len(self.parent_key) else np.zeros(0, np.int64)
 
     def totals(self) -> Totals:
         def by(names: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -320,7 +321,7 @@ class Seating:
 
 def _seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that ``count`` customers of each dish take; ``weight``: strength times the parent's probability of the dish."""
-    tables = np.ones(len(count), np.int64)
+    tables = np.ones(len(count), np.int32)
     active = np.flatnonzero(count > 1)
     for seated in range(1, ONE_BY_ONE):
         if not len(active):
@@ -424,9 +425,9 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
                         if i >= sweeps - kept:
                             samples.append((totals[i + 1], seating.tables, seating.parent_count, seating.parent_tables, seating.word_count, seating.word_tables))
                     if kind == 0:
-                        counts = np.bincount(seating.at, weights=seating.count, minlength=len(seating.word))
+                        counts = np.add.reduceat(seating.count, seating.starts, dtype=np.int64) if len(seating.word) else np.zeros(0, np.int64)
                         continue
-                    counts = np.zeros(0)
+                    counts = np.zeros(0, np.int64)
                 words, times, name, doc = _unpack(blob.as_py())
                 word = np.repeat(words, times)
                 found = seating.find(word, name)
