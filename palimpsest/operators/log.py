@@ -101,7 +101,23 @@ def reachable(roots: DataFrame, edges: DataFrame, depth: int = 10_000) -> DataFr
     return seen
 
 
-def unreachable(objects: DataFrame, roots: DataFrame, edges: DataFrame, before: object = None) -> DataFrame:
-    """Objects (node, uploaded, ...) that nothing reaches and that are older than ``before``."""
+def reachable_up(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``reachable`` where each source has one target at most, as in a forest: edges double their length each round, so a
+    chain takes as many rounds as its length has bits.  Before round k all
+    nodes within 2^k - 1 edges are known; a round that adds none has tried those 2^k edges away, so it ends, on cycles too."""
+    seen = cut(roots.select("node").distinct())
+    jump = cut(edges.select(F.col("source").alias("node"), "target").distinct())
+    while True:
+        step = seen.join(jump, "node").select(F.col("target").alias("node")).distinct()
+        new = cut(step.join(seen, "node", "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = cut(seen.unionByName(new))
+        jump = cut(jump.join(jump.select(F.col("node").alias("target"), F.col("target").alias("_far")), "target").select("node", F.col("_far").alias("target")))
+
+
+def unreachable(objects: DataFrame, roots: DataFrame, edges: DataFrame, before: object = None, forest: bool = False) -> DataFrame:
+    """Objects (node, uploaded, ...) that nothing reaches and that are older than ``before``; ``forest`` says that each
+    source has one target at most."""
     old = objects if before is None else objects.where(F.col("uploaded") < F.lit(before))
-    return old.join(reachable(roots, edges), "node", "left_anti")
+    return old.join((reachable_up if forest else reachable)(roots, edges), "node", "left_anti")

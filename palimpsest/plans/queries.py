@@ -352,15 +352,13 @@ def vector_topk(spark, sf):
 
 @query
 def gc_unreachable(spark, sf):
-    r = recipes.revs(spark, sf).where(F.col("id").cast("int") % 5 == 0)
-    # the last two revisions of each document are roots; what does not lie on a way from them to the first is garbage
+    r = recipes.revs(spark, sf)
+    # the last revision of each document is a root; what does not lie on the way from it to the first is garbage
     objects = r.select(F.concat_ws("/", "id", "rev").alias("node"), "id", "rev")
     edges = r.where(F.col("parent_rev").isNotNull()).select(F.concat_ws("/", "id", "rev").alias("source"), F.concat_ws("/", "id", "parent_rev").alias("target"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("gen"), F.desc("rev")))
-    last = r.withColumn("n", rank).where("n = 1").select(F.concat_ws("/", "id", "rev").alias("node"), "id", "gen")
-    # within one generation chain the closure is the trunk; edges are cut to the last 30 generations to bound the rounds
-    near = r.join(last.select("id", F.col("gen").alias("top")), "id").where(F.col("gen") > F.col("top") - 30).select(F.concat_ws("/", "id", "rev").alias("source"))
-    return log.unreachable(objects, last, edges.join(near, "source", "left_semi")).select("id", "rev")
+    last = r.withColumn("n", rank).where("n = 1").select(F.concat_ws("/", "id", "rev").alias("node"))
+    return log.unreachable(objects, last, edges, forest=True).select("id", "rev")
 
 
 @query
