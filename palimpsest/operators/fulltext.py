@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import FIELD_WEIGHTS, ascii_tokens, index_tokens, normal_length, phrases, query_phrases
+from ..session import cut
 
 K1, B = 1.2, 0.75
 
@@ -37,6 +38,21 @@ def postings(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     return tokens.groupBy("term", key).agg(F.sort_array(F.collect_list("position")).alias("positions"), F.count(F.lit(1)).alias("tf"))
 
 
+def row_postings(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """(term, *keys, positions, tf) by the ASCII analyzer where each row is a document of its own: words are sorted and
+    grouped within the row, so nothing is shuffled and rows stay where they were dealt."""
+    placed = F.transform(ascii_tokens(F.col(text)), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    words = docs.select(*keys, F.sort_array(placed).alias("_words"))
+    word = lambda i: F.get("_words", i)["term"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("_words") - 1), lambda i: (i == 0) | (word(i) != word(i - 1)))
+    # no filter on the words themselves: it would be moved below the caller's shuffle and sort them there too
+    runs = words.withColumn("_runs", F.when(F.size("_words") > 0, starts))
+    end = lambda k: F.coalesce(F.get("_runs", k + 1), F.size("_words"))
+    run = lambda i, k: F.struct(word(i).alias("term"), F.transform(F.slice("_words", i + 1, end(k) - i), lambda w: w["position"]).alias("positions"))
+    rows = runs.select(*keys, F.explode_outer(F.transform("_runs", run)).alias("_p")).where(F.col("_p").isNotNull())
+    return rows.select(F.col("_p.term").alias("term"), *keys, F.col("_p.positions").alias("positions"), F.size("_p.positions").cast("bigint").alias("tf"))
+
+
 def term_df(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """(term, df, cf): documents that have the term, and occurrences."""
     return tokens.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -128,6 +144,16 @@ def fresh(hits: DataFrame, state: DataFrame) -> DataFrame:
     return hits.join(now, "path").where(F.coalesce(live, F.lit(False))).drop("_now", "_fts")
 
 
+def _numbered(rows: DataFrame, name: str, *by: str) -> DataFrame:
+    """Rows numbered from 0 in the order of unique columns: ranges are ranked apart, each after the rows of those before it."""
+    dealt = cut(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())
+    starts = [(part, sum(n for _, n in sizes[:i])) for i, (part, _) in enumerate(sizes)]
+    before = F.broadcast(dealt.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return dealt.withColumn(name, place).join(before, "_range").withColumn(name, (F.col(name) + F.col("_start") - 1).cast("int")).drop("_range", "_start")
+
+
 def merge_segments(segment_docs: DataFrame, segment_postings: DataFrame, live: DataFrame, into: str = "merged") -> tuple[DataFrame, DataFrame]:
     """Documents and postings of all segments as one: stale and repeated (path, hash) go, the rest is numbered anew.
 
@@ -135,7 +161,7 @@ def merge_segments(segment_docs: DataFrame, segment_postings: DataFrame, live: D
     kept = segment_docs.join(live.select("path", "hash"), ["path", "hash"], "left_semi")
     first = F.row_number().over(Window.partitionBy("path", "hash").orderBy("segment", "doc"))
     kept = kept.withColumn("_n", first).where("_n = 1").drop("_n")
-    numbered = kept.withColumn("new_doc", F.row_number().over(Window.orderBy("segment", "doc")) - 1)
+    numbered = _numbered(kept, "new_doc", "segment", "doc")
     docs = numbered.select(F.lit(into).alias("segment"), F.col("new_doc").alias("doc"), "path", "hash", "chars")
     moved = segment_postings.join(numbered.select("segment", "doc", "new_doc"), ["segment", "doc"]).select(F.lit(into).alias("segment"), "term", F.col("new_doc").alias("doc"), "positions")
     return docs, moved

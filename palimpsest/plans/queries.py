@@ -276,8 +276,11 @@ def tokenize_words(spark, sf):
 
 @query
 def postings(spark, sf):
-    rows = fulltext.postings(fulltext.token_rows(table(spark, sf, "benchmark"), "item_id"), "item_id")
-    return rows.select("term", "item_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+    return fulltext.row_postings(table(spark, sf, "documents")).select("term", "doc_id", "tf", _positions().alias("positions"))
+
+
+def _positions() -> F.Column:
+    return _joined(F.transform("positions", lambda p: p.cast("string")))
 
 
 @query
@@ -322,19 +325,25 @@ def search_fields(spark, sf):
 
 def _segments(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Two segments of the same files, of which the older one has every fourth file in an old version."""
-    docs = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("path"), "item_id", "text")
-    old = F.when(F.col("item_id") % 4 == 0, F.md5(F.concat("text", F.lit("~")))).otherwise(F.md5("text"))
-    a = docs.select(F.lit("a").alias("segment"), F.col("item_id").alias("doc"), "path", old.alias("hash"), F.length("text").alias("chars"))
-    b = docs.where("item_id % 2 = 0").select(F.lit("b").alias("segment"), F.col("item_id").alias("doc"), "path", F.md5("text").alias("hash"), F.length("text").alias("chars"))
-    return a.unionByName(b), docs.select("path", F.md5("text").alias("hash"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("doc_id").alias("doc"), "text")
+    old = F.when(F.col("doc") % 4 == 0, F.concat("text", F.lit("~"))).otherwise(F.col("text"))
+    a = docs.select(F.lit("a").alias("segment"), "doc", "path", old.alias("text"))
+    b = docs.where("doc % 2 = 0").select(F.lit("b").alias("segment"), "doc", "path", "text")
+    return a.unionByName(b).withColumns({"hash": F.md5("text"), "chars": F.length("text")}), docs.select("path", F.md5("text").alias("hash"))
 
 
 @query
 def segment_compact(spark, sf):
     segs, live = _segments(spark, sf)
-    posts = segs.select("segment", F.lit("t").alias("term"), "doc", F.array(F.lit(0)).alias("positions"))
-    docs, _ = fulltext.merge_segments(segs, posts, live)
-    return docs.select("doc", "path", "hash", F.col("chars").cast("bigint").alias("chars"))
+    # dealt by document before its words are read, so that texts are shuffled and not their postings
+    posts = fulltext.row_postings(segs.select("segment", "doc", "text").repartition("segment", "doc"), ["segment", "doc"])
+    docs, merged = fulltext.merge_segments(segs.drop("text"), posts, live)
+    # a document's merged postings as their number and, in any order, the sum of 60 bits of the MD5 of each term:positions
+    line = F.md5(F.concat("term", F.lit(":"), _positions()))
+    words = merged.select("doc", F.conv(F.substring(line, 1, 15), 16, 10).cast("decimal(20,0)").alias("line"))
+    words = words.groupBy("doc").agg(F.count(F.lit(1)).alias("terms"), F.sum("line").cast("string").alias("postings"))
+    found = docs.join(words, "doc", "left").withColumns({"terms": F.coalesce("terms", F.lit(0)), "postings": F.coalesce("postings", F.lit("0"))})
+    return found.select("doc", "path", "hash", F.col("chars").cast("bigint").alias("chars"), "terms", "postings")
 
 
 @query

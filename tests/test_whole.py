@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
+import re
 
 import pytest
 
@@ -40,3 +42,37 @@ def test_doubling_on_cycles_and_shared_chains(spark):
     for root, want in (("a", "abc"), ("y", "abcxy"), ("s", "s"), ("z", "z")):
         roots = spark.createDataFrame([(root,)], "node string")
         assert "".join(sorted(r.node for r in log.reachable_up(roots, edges).collect())) == want
+
+
+TEXTS = {0: "The cat, the dog", 1: "a cat", 2: "", 3: "Über_x 7 the", 4: "dog dog dog", 6: "!", 9: "the end of the end"}
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    folder = f"{tmp_path_factory.mktemp('corpus')}"
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def _postings(text):
+    out = {}
+    for i, term in enumerate(re.findall(r"[a-z0-9_]+", text.lower())):
+        out.setdefault(term, []).append(str(i))
+    return {t: ",".join(p) for t, p in out.items()}
+
+
+def test_postings_of_all_documents(spark, corpus):
+    got = sorted(tuple(r) for r in QUERIES["postings"](spark, corpus).select("term", "doc_id", "tf", "positions").collect())
+    assert got == sorted((t, d, p.count(",") + 1, p) for d, text in TEXTS.items() for t, p in _postings(text).items())
+
+
+def test_segments_of_all_documents_with_their_postings(spark, corpus):
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    # merged in order of segment: a has every document, those of each fourth in an old version; b has the even ones
+    kept = [d for d in TEXTS if d % 4] + [d for d in TEXTS if d % 4 == 0]
+    want = []
+    for n, d in enumerate(kept):
+        words = [int(md5(f"{t}:{p}")[:15], 16) for t, p in _postings(TEXTS[d]).items()]
+        want.append((n, str(d), md5(TEXTS[d]), len(TEXTS[d]), len(words), str(sum(words))))
+    assert sorted(tuple(r) for r in QUERIES["segment_compact"](spark, corpus).collect()) == want
+    assert sorted(tuple(r) for r in QUERIES["fresh_hits"](spark, corpus).collect()) == sorted((str(d), md5(TEXTS[d])) for d in TEXTS if d % 4)
