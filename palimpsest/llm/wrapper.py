@@ -21,9 +21,11 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import json
+import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,7 +43,7 @@ BROADCAST_BYTES = 16_000_000
 #: Partial wrappers that a task holds before it sends them on.
 PARTIAL_WRAPPERS = 2_000
 
-#: Pairs of children up to which alignment is optimal; longer lists are aligned in order of appearance.
+#: Pairs of children up to which the whole table of an alignment is kept; beyond, the same alignment is found by rows.
 MATCH_CELLS = 40_000
 
 # Names of HTML elements by what they are.
@@ -208,24 +210,85 @@ def _table(xs: list, ys: list, memo: dict) -> list[list[int]]:
     return table
 
 
+def _align_by_rows(xs: list, ys: list) -> list[tuple[int | None, int | None]]:
+    """The alignment of ``align``, ties included, for long lists.  Trees of one shape match alike, so pairs of shapes are
+    matched, not pairs of nodes; of the table every k-th row is kept, and those between are found again on the way back."""
+    ids: dict[tuple, int] = {}
+    shapes: list[tuple] = []
+    memo: dict[tuple[int, int], int] = {}
+
+    def shape(node: list) -> int:
+        key = (node[0], tuple(shape(k) for k in node[3]))
+        if key not in ids:
+            ids[key] = len(shapes)
+            shapes.append(key)
+        return ids[key]
+
+    def match(p: int, q: int) -> int:
+        (sign, a), (other, b) = shapes[p], shapes[q]
+        if sign != other:
+            return 0
+        if not a or not b:
+            return 1
+        if (p, q) not in memo:
+            row, step = np.zeros(len(b) + 1, np.int32), steps(b)
+            for x in a:
+                row = step(row, x)
+            memo[p, q] = 1 + int(row[-1])
+        return memo[p, q]
+
+    def steps(b: Sequence[int]) -> Callable[[np.ndarray, int], np.ndarray]:
+        kinds, place = np.unique(np.array(b, np.int64), return_inverse=True)
+        gains: dict[int, np.ndarray] = {}
+
+        def step(before: np.ndarray, x: int) -> np.ndarray:
+            if x not in gains:
+                gains[x] = np.array([match(x, int(q)) for q in kinds], np.int32)
+            row = np.zeros_like(before)
+            np.maximum.accumulate(np.maximum(before[1:], before[:-1] + gains[x][place]), out=row[1:])
+            return row
+
+        return step
+
+    a, b = [shape(x) for x in xs], [shape(y) for y in ys]
+    step, k = steps(b), math.isqrt(len(a)) + 1
+    row = np.zeros(len(b) + 1, np.int32)
+    kept = [row]
+    for i, x in enumerate(a, 1):
+        row = step(row, x)
+        if i % k == 0:
+            kept.append(row)
+    out: list[tuple[int | None, int | None]] = []
+    j = len(b)
+    for block in range(len(a) // k, -1, -1):
+        first = block * k
+        table = [kept[block]]
+        for x in a[first : first + k]:
+            table.append(step(table[-1], x))
+        i = min(first + k, len(a))
+        while i > first:
+            now, before = table[i - first], table[i - first - 1]
+            gain = match(a[i - 1], b[j - 1]) if j else 0
+            if gain and now[j] == before[j - 1] + gain:
+                i, j = i - 1, j - 1
+                out.append((i, j))
+            elif j and now[j] == now[j - 1]:
+                j -= 1
+                out.append((None, j))
+            else:
+                i -= 1
+                out.append((i, None))
+    out += [(None, n) for n in range(j - 1, -1, -1)]
+    return out[::-1]
+
+
 def align(xs: list, ys: list) -> list[tuple[int | None, int | None]]:
     """Children of two nodes, paired in order; those that have no partner stand between."""
     if [x[0] for x in xs] == [y[0] for y in ys]:
         return [(i, i) for i in range(len(xs))]
     out: list[tuple[int | None, int | None]] = []
     if len(xs) * len(ys) > MATCH_CELLS:
-        i = 0
-        where: dict[str, list[int]] = {}
-        for k, x in enumerate(xs):
-            where.setdefault(x[0], []).append(k)
-        for j, y in enumerate(ys):
-            k = next((k for k in where.get(y[0], ()) if k >= i), None)
-            if k is None:
-                out.append((None, j))
-                continue
-            out += [(n, None) for n in range(i, k)] + [(k, j)]
-            i = k + 1
-        return out + [(n, None) for n in range(i, len(xs))]
+        return _align_by_rows(xs, ys)
     memo: dict = {}
     table = _table(xs, ys, memo)
     i, j = len(xs), len(ys)
