@@ -1,8 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 The models live in sorted arrays of hashed n-grams with a column of log-probabilities per language; the chosen language is
-the one of the lowest cross-entropy per character.  A text is rejected if even that cross-entropy is far from what texts of
-the language have on documents that the models were not fitted on.
+the one of the lowest cross-entropy per character.  A text is rejected if even that cross-entropy is far from what pieces of
+its length and language have on documents that the models were not fitted on.
 
 Fitting reads a bounded sample of labelled rows: ``SAMPLE`` documents of each language, those of the lowest hash of
 doc_id and text; one in five is kept back for calibration.  Prediction reads whole texts.
@@ -28,8 +28,11 @@ ORDER, DISCOUNT = 4, 0.75
 #: Labelled documents that are read per language, and languages at most: the bound of the sample.
 SAMPLE, LANGUAGES = 1500, 500
 
-#: How many deviations above the usual cross-entropy of its language a text of usual length may lie.
-REJECT_AT = 20.0
+#: Lengths at which the bound of each language is calibrated, and pieces of each length that are taken from a document.
+BANDS, PIECES = (16, 64, 256, 1024, 4096), 4
+
+#: How many deviations, of pieces of its length and language, above their usual cross-entropy a text may lie.
+REJECT_AT = 14.0
 
 #: Sharpness of the score, the share of the best language among exp(-SHARP * cross-entropy).
 SHARP = 10.0
@@ -107,8 +110,8 @@ class Models:
     ctx: list[np.ndarray]
     gamma: list[np.ndarray]
     floor: np.ndarray
-    mean: np.ndarray
-    deviation: np.ndarray
+    mean: np.ndarray  # usual cross-entropy by band of length and language
+    limit: np.ndarray  # the highest that is accepted, likewise
 
     def _logp(self, gram: np.ndarray, n: int) -> np.ndarray:
         if n == 0:
@@ -131,6 +134,14 @@ class Models:
             out[miss] = rest
         return out
 
+    def bound(self, n: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """The limit for texts of n characters in language i, between the bands by log n."""
+        at = np.interp(np.log(np.maximum(n, 1)), np.log(BANDS), np.arange(len(BANDS)))
+        low = np.minimum(at.astype(np.int64), len(BANDS) - 2)
+        found = self.limit[low, i] + (at - low) * (self.limit[low + 1, i] - self.limit[low, i])
+        # texts below the first band spread more, by the root of their length
+        return found + np.maximum(np.sqrt(BANDS[0] / np.maximum(n, 1)) - 1, 0) * (self.limit[0, i] - self.mean[0, i])
+
     def entropies(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per character by text and language, characters, has a letter."""
         code, begin, has = _codes(texts, table)
@@ -227,7 +238,7 @@ def _kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], languages: lis
             order = np.argsort(hashed)
             ctx.append(hashed[order])
             gamma.append(np.log(w)[order].astype(np.float32))
-    return Models(languages, keys, value, ctx, gamma, floor.astype(np.float32), np.zeros(len(languages)), np.ones(len(languages)))
+    return Models(languages, keys, value, ctx, gamma, floor.astype(np.float32), np.zeros((len(BANDS), len(languages))), np.full((len(BANDS), len(languages)), np.inf))
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models | None:
@@ -259,13 +270,20 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models | None:
         order = np.argsort(g)
         arrays[lang] = (g[order], np.array(counts[lang][1], np.int64)[order])
     models = _kneser_ney(arrays, languages)
-    held = predict_frame(chosen.where(F.col("_r") % 5 == 0), models, ["lang"])
-    spread = held.where(F.col("lang") == F.col("lang_pred")).groupBy("lang").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("d")).collect()
-    # a language without calibration documents gets the widest spread of the others
-    known = {r["lang"]: (r["m"], max(r["d"] or 0.0, 0.05)) for r in spread}
-    most = (max((m for m, _ in known.values()), default=float(np.log(1 << 16))), max((d for _, d in known.values()), default=1.0))
-    models.mean = np.array([known.get(x, most)[0] for x in languages])
-    models.deviation = np.array([known.get(x, most)[1] for x in languages])
+    held = chosen.where(F.col("_r") % 5 == 0)
+    size = F.length("text")
+    cuts = [F.when(size >= n * (k + 1) if k else size > n // 2, F.struct(F.lit(band).alias("band"), F.substring("text", n * k + 1, n).alias("piece"))) for band, n in enumerate(BANDS) for k in range(PIECES)]
+    pieces = held.select("lang", F.explode(F.array_compact(F.array(*cuts))).alias("p")).select("lang", "p.band", "p.piece")
+    judged = predict_frame(pieces, models, ["lang", "band"], "piece").where(F.col("lang") == F.col("lang_pred"))
+    rows = judged.groupBy("lang", "band").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("d"), F.max("entropy").alias("top")).collect()
+    # never below what calibration documents have, and a deviation of few pieces is not taken for none
+    known = {(r["band"], r["lang"]): (r["m"], max(r["m"] + REJECT_AT * max(r["d"], 0.02), r["top"] + max(r["d"], 0.02))) for r in rows}
+    for band in range(len(BANDS)):
+        own = [v for (b, _), v in known.items() if b == band]
+        for i, x in enumerate(languages):
+            # a length that calibration lacks takes the wider bound of the band below, or the widest of the other languages
+            widest = max(own, key=lambda v: v[1]) if own else (0.0, np.inf)
+            models.mean[band, i], models.limit[band, i] = known.get((band, x)) or ((models.mean[band - 1, i], models.limit[band - 1, i]) if band else widest)
     return models
 
 
@@ -292,8 +310,7 @@ def predict_frame(docs: DataFrame, models: Models | None, keep: Sequence[str], t
                         i = ce.argmin(axis=1)
                         best = ce[np.arange(len(i)), i]
                         score = 1 / np.exp(-SHARP * (ce - best[:, None])).sum(axis=1)
-                        limit = own.mean[i] + REJECT_AT * own.deviation[i] * np.sqrt(1 + 400 / np.maximum(n, 1))
-                        bad = ~has | (best > limit)
+                        bad = ~has | (best > own.bound(n, i))
                         lang = [own.languages[k] if h else UNKNOWN for k, h in zip(i, has, strict=True)]
                         score, best = np.where(has, score, 0.0), np.where(has, best, np.nan)
                     cols = [batch.column(k).slice(step + at, len(part)) for k in range(len(keep))]
