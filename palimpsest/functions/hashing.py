@@ -67,7 +67,7 @@ def body_pieces(body: pd.Series) -> pd.Series:
     return body.map(lambda t: list(split_units(t, BODY_PIECE)) if t is not None and len(t.encode("utf-8", "surrogatepass")) > BODY_WHOLE else None)
 
 
-def _number(x: float) -> str:
+def number_text(x: float) -> str:
     """The shortest text that reads as the number again, as scripts print it."""
     if math.isnan(x) or math.isinf(x):
         return "null"
@@ -93,7 +93,7 @@ def stable_json(value: Any) -> str:
     if value is None or isinstance(value, bool):
         return json.dumps(value)
     if isinstance(value, (int, float)):
-        return _number(float(value))
+        return number_text(float(value))
     if isinstance(value, str):
         return json.dumps(value, ensure_ascii=False)
     if isinstance(value, list):
@@ -138,7 +138,7 @@ def ancestor_revs(start: Column, ids: Column) -> Column:
 
 def strict_base64(text: Column) -> Column:
     """Bytes of well-formed base64; null where the text is anything else."""
-    good = text.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    good = text.rlike(r"\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")
     return F.when(good, F.unbase64(text))
 
 
@@ -147,3 +147,21 @@ def fnv1a(text: str) -> int:
     for b in text.encode("utf-8", "surrogatepass"):
         h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
     return h
+
+
+def fnv1a_hash(text: Column) -> Column:
+    """The same number of a column, without Python."""
+    size = F.octet_length(text)
+    byte = lambda i: F.conv(F.substring(F.hex(text), 2 * i + 1, F.lit(2)), 16, 10).cast("bigint")
+    start = F.lit(0x811C9DC5).cast("bigint")
+    fold = F.aggregate(F.sequence(F.lit(0), size - 1), start, lambda h, i: (h.bitwiseXOR(byte(i)) * 0x01000193).bitwiseAND(0xFFFFFFFF))
+    return F.when(size == 0, start).otherwise(fold)
+
+
+def term_shard(term: Column, shards: int = 16) -> Column:
+    return (fnv1a_hash(term) % shards).cast("int")
+
+
+def term_bucket(term: Column, buckets: int = 64) -> Column:
+    """Independent of the shard, whose bits come first."""
+    return (F.floor(fnv1a_hash(term) / 16) % buckets).cast("int")

@@ -92,6 +92,9 @@ def daily_note_path(date: str, folder: str = "", pattern: str | None = None, new
 
 # Media types by extension.
 MEDIA_TYPES = {
+    "md": "text/markdown; charset=utf-8",
+    "txt": "text/plain; charset=utf-8",
+    "json": "application/json",
     "png": "image/png",
     "jpg": "image/jpeg",
     "jpeg": "image/jpeg",
@@ -99,15 +102,16 @@ MEDIA_TYPES = {
     "webp": "image/webp",
     "svg": "image/svg+xml",
     "pdf": "application/pdf",
-    "json": "application/json",
-    "md": "text/markdown",
-    "txt": "text/plain",
-    "css": "text/css",
-    "html": "text/html",
+    "mp3": "audio/mpeg",
+    "wav": "audio/wav",
+    "mp4": "video/mp4",
 }
 
 
-def media_type(path: Column) -> Column:
-    ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+def media_type(path: Column, declared: Column | None = None) -> Column:
+    """The declared type where it is a short text without control characters, else that of what follows the last point."""
     table = F.create_map(*(F.lit(x) for pair in MEDIA_TYPES.items() for x in pair))
-    return F.coalesce(F.try_element_at(table, ext), F.lit("application/octet-stream"))
+    named = F.coalesce(F.try_element_at(table, F.lower(F.substring_index(path, ".", -1))), F.lit("application/octet-stream"))
+    if declared is None:
+        return named
+    return F.when((F.length(declared) <= 128) & ~declared.rlike(r"[\x00-\x1f\x7f]"), declared).otherwise(named)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.args import UNSET, feed_limit, key_value, row_limit, since_value
+from ..session import cut
 from . import revisions
 
 
@@ -71,8 +72,18 @@ def all_docs_keys(current: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def find(winning: DataFrame, match: Column, limit: Any = None) -> DataFrame:
-    """Live winners that match, by id, 25 where no limit is given."""
-    return winning.where(~F.col("deleted") & match).orderBy("id").limit(25 if limit is None else max(int(limit), 0))
+    """Live winners that match, by id: a page of 25 where no limit is given, of all but the last n for a limit of -n."""
+    n = 25 if limit is None else int(limit)
+    found = winning.where(~F.col("deleted") & match)
+    if n >= 0:
+        return found.orderBy("id").limit(n)
+    found = cut(found)
+    return found.orderBy("id").limit(max(found.count() + n, 0))
+
+
+def matching(winning: DataFrame, match: Column) -> DataFrame:
+    """All live winners that match, in no order: what find's pages are cut from."""
+    return winning.where(~F.col("deleted") & match)
 
 
 def info(current: DataFrame) -> DataFrame:

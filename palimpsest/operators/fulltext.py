@@ -7,14 +7,13 @@ aggregate, and a search is scan, join on doc_id, aggregate and top-k.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import FIELD_WEIGHTS, ascii_tokens, index_tokens, normal_length, phrases, query_phrases
-from ..session import cut
+from ..session import numbered
 
 K1, B = 1.2, 0.75
 
@@ -144,16 +143,6 @@ def fresh(hits: DataFrame, state: DataFrame) -> DataFrame:
     return hits.join(now, "path").where(F.coalesce(live, F.lit(False))).drop("_now", "_fts")
 
 
-def _numbered(rows: DataFrame, name: str, *by: str) -> DataFrame:
-    """Rows numbered from 0 in the order of unique columns: ranges are ranked apart, each after the rows of those before it."""
-    dealt = cut(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
-    sizes = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())
-    starts = [(part, sum(n for _, n in sizes[:i])) for i, (part, _) in enumerate(sizes)]
-    before = F.broadcast(dealt.sparkSession.createDataFrame(starts, "_range int, _start long"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
-    return dealt.withColumn(name, place).join(before, "_range").withColumn(name, (F.col(name) + F.col("_start") - 1).cast("int")).drop("_range", "_start")
-
-
 def merge_segments(segment_docs: DataFrame, segment_postings: DataFrame, live: DataFrame, into: str = "merged") -> tuple[DataFrame, DataFrame]:
     """Documents and postings of all segments as one: stale and repeated (path, hash) go, the rest is numbered anew.
 
@@ -161,9 +150,9 @@ def merge_segments(segment_docs: DataFrame, segment_postings: DataFrame, live: D
     kept = segment_docs.join(live.select("path", "hash"), ["path", "hash"], "left_semi")
     first = F.row_number().over(Window.partitionBy("path", "hash").orderBy("segment", "doc"))
     kept = kept.withColumn("_n", first).where("_n = 1").drop("_n")
-    numbered = _numbered(kept, "new_doc", "segment", "doc")
-    docs = numbered.select(F.lit(into).alias("segment"), F.col("new_doc").alias("doc"), "path", "hash", "chars")
-    moved = segment_postings.join(numbered.select("segment", "doc", "new_doc"), ["segment", "doc"]).select(F.lit(into).alias("segment"), "term", F.col("new_doc").alias("doc"), "positions")
+    placed = numbered(kept, "new_doc", "segment", "doc").withColumn("new_doc", F.col("new_doc").cast("int"))
+    docs = placed.select(F.lit(into).alias("segment"), F.col("new_doc").alias("doc"), "path", "hash", "chars")
+    moved = segment_postings.join(placed.select("segment", "doc", "new_doc"), ["segment", "doc"]).select(F.lit(into).alias("segment"), "term", F.col("new_doc").alias("doc"), "positions")
     return docs, moved
 
 
@@ -185,8 +174,3 @@ def rewrite_plan(segment_docs: DataFrame, live: DataFrame, share: float = 0.25,
 def overlay(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Base rows with a delta over them: rows of the same keys are the delta's, and go where it is marked ``gone``."""
     return base.join(delta.select(*keys), list(keys), "left_anti").unionByName(delta.where(~F.col("gone")).drop("gone"))
-
-
-def bm25_reference(n: int, df: int, tf: float, length: float, average: float) -> float:
-    """The formula on plain numbers, for tests."""
-    return math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import strict_base64
+from ..functions.paths import is_safe
 
 #: What makes a document something that a mirror cannot write.
 ENCRYPTED_PREFIXES = ("e_", "h:++encrypted")
@@ -44,15 +45,19 @@ def decode(kind: Column, content: Column) -> Column:
 def write_files(files: DataFrame, root: str) -> DataFrame:
     """Writes (path, bytes) under a folder that all executors share; (path, size) of what was written.
 
-    A file is written beside its place and renamed, so one that is written again is whole at any time."""
+    Paths that are not safe are not written and have no row, nor are those that links lead out of the folder.  A file is
+    written beside its place and renamed, so one that is written again is whole at any time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
         import tempfile
 
+        top = os.path.realpath(root)
         for rows in batches:
+            places = [os.path.realpath(os.path.join(top, path)) for path in rows["path"]]
+            rows = rows[[place.startswith(top + os.sep) for place in places]]
             for path, data in zip(rows["path"], rows["bytes"], strict=True):
-                place = os.path.join(root, path)
+                place = os.path.join(top, path)
                 os.makedirs(os.path.dirname(place), exist_ok=True)
                 handle, beside = tempfile.mkstemp(dir=os.path.dirname(place))
                 with os.fdopen(handle, "wb") as out:
@@ -60,7 +65,7 @@ def write_files(files: DataFrame, root: str) -> DataFrame:
                 os.replace(beside, place)
             yield pd.DataFrame({"path": rows["path"], "size": rows["bytes"].map(len)})
 
-    return files.select("path", "bytes").mapInPandas(run, "path string, size long")
+    return files.where(is_safe(F.col("path"))).select("path", "bytes").mapInPandas(run, "path string, size long")
 
 
 def status(state: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import rev_generation
-from ..session import cut
+from ..session import cut, numbered
 
 
 def leaves(revs: DataFrame) -> DataFrame:
@@ -76,26 +76,22 @@ def bulk_get(requests: DataFrame, revs: DataFrame) -> DataFrame:
     return got.select("pos", "id", "rev", "deleted", "doc", F.when(F.col("doc").isNull(), F.lit("not_found")).alias("error")).orderBy("pos")
 
 
-def descendants(wanted: DataFrame, revs: DataFrame, depth: int = 10_000) -> DataFrame:
+def descendants(wanted: DataFrame, revs: DataFrame) -> DataFrame:
     """(id, rev, leaf) with the leaves that come after each wanted revision, itself if it is one.
 
-    Histories may be cut short, so the edges are followed, all wanted revisions at once; each round goes one generation."""
-    edges = revs.where(F.col("parent_rev").isNotNull()).select("id", F.col("parent_rev").alias("at"), F.col("rev").alias("child"))
-    frontier = wanted.select("id", "rev").distinct().join(revs.select("id", "rev"), ["id", "rev"], "left_semi").withColumn("at", F.col("rev"))
-    reached = frontier
-    for _ in range(depth):
-        frontier = cut(frontier.join(edges, ["id", "at"]).select("id", "rev", F.col("child").alias("at")))
-        if frontier.isEmpty():
-            break
-        reached = cut(reached.unionByName(frontier))
-    tops = leaves(revs).select("id", F.col("rev").alias("at"))
-    return reached.join(tops, ["id", "at"]).select("id", "rev", F.col("at").alias("leaf")).distinct()
-
-
-def descendants_by_history(wanted: DataFrame, revs: DataFrame) -> DataFrame:
-    """The same in one join where every row's ``history`` (its own revision first) is complete."""
-    tops = leaves(revs).select("id", F.col("rev").alias("leaf"), F.explode("history").alias("rev"))
-    return wanted.select("id", "rev").distinct().join(tops, ["id", "rev"]).select("id", "rev", "leaf")
+    Every leaf is carried up to its ancestors by jumps that double each round, so a chain takes as many rounds as its length
+    has bits; the rows are one for each leaf and ancestor.  What is not known has no row."""
+    own = leaves(revs).select("id", F.col("rev").alias("leaf"), F.col("rev").alias("at"))
+    jump = cut(revs.where(F.col("parent_rev").isNotNull()).select("id", F.col("rev").alias("at"), F.col("parent_rev").alias("up")))
+    reached = cut(own)
+    while not jump.isEmpty():
+        # ancestors within 2^k - 1 are known; those as far again above them follow
+        reached = cut(reached.unionByName(reached.join(jump, ["id", "at"]).select("id", "leaf", F.col("up").alias("at"))))
+        far = jump.select("id", F.col("at").alias("up"), F.col("up").alias("_far"))
+        jump = cut(jump.join(far, ["id", "up"]).select("id", "at", F.col("_far").alias("up")))
+    known = revs.select("id", "rev")
+    asked = wanted.select("id", "rev").distinct().join(known, ["id", "rev"], "left_semi")
+    return asked.join(reached.select("id", F.col("at").alias("rev"), "leaf"), ["id", "rev"])
 
 
 def link_ancestors(arrived: DataFrame) -> DataFrame:
@@ -118,9 +114,8 @@ def replicate(revs: DataFrame, batch: DataFrame) -> DataFrame:
     first = good.withColumn("_n", F.row_number().over(Window.partitionBy("id", "rev").orderBy("pos"))).where("_n = 1").drop("_n")
     new = first.join(revs.where("body_available").select("id", "rev"), ["id", "rev"], "left_anti")
     last = revs.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    # sequences are a total order over the batch; a batch is what one commit holds, not the table
-    numbered = new.withColumn("_k", F.row_number().over(Window.orderBy("pos"))).join(F.broadcast(last)).withColumn("seq", F.col("last") + F.col("_k"))
-    brought = numbered.select("id", "rev", "seq", "deleted", "body", "ancestry")
+    placed = numbered(new, "_k", "pos", "id", "rev", first=1).join(F.broadcast(last)).withColumn("seq", F.col("last") + F.col("_k"))
+    brought = placed.select("id", "rev", "seq", "deleted", "body", "ancestry")
     edges = link_ancestors(brought.select("id", "seq", "ancestry")).select("id", "rev", F.col("parent_rev").alias("new_parent"), F.col("seq").alias("edge_seq"))
     named = edges.join(brought.drop("ancestry"), ["id", "rev"], "left")
     old = revs.select("id", "rev", F.col("parent_rev").alias("old_parent"), F.col("seq").alias("old_seq"), F.col("deleted").alias("old_deleted"), F.col("body").alias("old_body"), F.col("body_available").alias("old_available"))
@@ -160,7 +155,7 @@ def apply_edits(revs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame
     rev = F.concat(F.col("gen").cast("string"), F.lit("-"), revision_hash(stable_body("body"), F.col("parent")))
     judged = judged.withColumn("rev", F.when(F.col("status") == "ok", rev))
     last = revs.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    taken = judged.where("status = 'ok'").withColumn("_k", F.row_number().over(Window.orderBy("pos"))).join(F.broadcast(last))
+    taken = numbered(judged.where("status = 'ok'"), "_k", "pos", "id", first=1).join(F.broadcast(last))
     new = taken.select("id", "rev", F.col("gen").cast("bigint").alias("gen"), F.col("parent").alias("parent_rev"), (F.col("last") + F.col("_k")).alias("seq"), "deleted", "body", F.lit(True).alias("body_available"))
     return revs.select(new.columns).unionByName(new), judged.select("pos", "id", "rev", "status")
 
@@ -184,12 +179,22 @@ def compact_changes(changes: DataFrame, current: DataFrame) -> DataFrame:
     return latest.join(current, "id").select("seq", "id", F.col("winning_rev").alias("rev"), "deleted")
 
 
-def public_doc(row: DataFrame, with_conflicts: DataFrame | None = None) -> DataFrame:
-    """(id, doc) with doc as JSON: _id, _rev, the body's fields, _deleted only if so, _conflicts only if there are any."""
+#: Fields of a public document that the store says, whatever a body has under their names.
+PUBLIC_FIELDS = ("_id", "_rev", "_deleted", "_conflicts", "_revisions")
+
+
+def public_doc(row: DataFrame, with_conflicts: DataFrame | None = None, history: bool = False) -> DataFrame:
+    """(id, doc) with doc as JSON: _id, _rev, _deleted only if so, _conflicts only if there are any, with ``history`` also
+    _revisions from the column of that name (revisions, the newest first) where it has any; then the body's other fields."""
     joined = row.join(with_conflicts, "id", "left") if with_conflicts is not None else row.withColumn("conflicts", F.lit(None).cast("array<string>"))
-    head = F.to_json(F.struct(F.col("id").alias("_id"), F.col("rev").alias("_rev"), F.when(F.col("deleted"), F.lit(True)).alias("_deleted"), F.when(F.size("conflicts") > 0, F.col("conflicts")).alias("_conflicts")))
-    inner = F.regexp_extract("body", r"(?s)^\s*\{(.*)\}\s*$", 1)
-    return joined.select("id", F.when(F.trim(inner) == "", head).otherwise(F.concat(F.substring(head, 1, F.length(head) - 1), F.lit(","), inner, F.lit("}"))).alias("doc"))
+    fields = [F.col("id").alias("_id"), F.col("rev").alias("_rev"), F.when(F.col("deleted"), F.lit(True)).alias("_deleted"), F.when(F.size("conflicts") > 0, F.col("conflicts")).alias("_conflicts")]
+    if history:
+        ids = F.transform("history", lambda r: F.regexp_extract(r, r"^\d+-(.+)$", 1))
+        fields.append(F.when(F.size("history") > 0, F.struct(rev_generation(F.get("history", 0)).alias("start"), ids.alias("ids"))).alias("_revisions"))
+    head = F.to_json(F.struct(*fields))
+    rest = F.to_json(F.map_filter(F.from_json("body", "map<string,variant>"), lambda k, v: ~k.isin(*PUBLIC_FIELDS)))
+    whole = F.when(F.length(rest) > 2, F.concat(F.expr("substring(_head, 1, length(_head) - 1)"), F.lit(","), F.substring(rest, 2, 1 << 30))).otherwise(F.col("_head"))
+    return joined.withColumn("_head", head).select("id", whole.alias("doc"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

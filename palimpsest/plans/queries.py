@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, tokens
+from ..functions import hashing
 from ..functions.hashing import content_hash
-from ..functions.selector import Value, compile_selector, number_column, text_column
-from ..operators import content, feed, fulltext, listing, log, mirror, revisions, vectors
-from ..session import table
+from ..functions.selector import Value, compile_selector, js_number, number_column, text_column
+from ..operators import content, feed, fulltext, listing, local_docs, log, mirror, revisions, vectors
+from ..session import numbered, table
 from ..streaming import windows
 from . import recipes
 
@@ -81,7 +82,7 @@ def changes_pending(spark, sf):
 def _find(spark, sf, selector) -> DataFrame:
     won = revisions.winners(recipes.revs(spark, sf)).withColumn("_doc", F.try_parse_json("body"))
     match = compile_selector(selector, F.col("_doc"), _meta())
-    return feed.find(won, match, limit=1000).select("id", "rev", "body")
+    return feed.matching(won, match).select("id", "rev", "body")
 
 
 @query
@@ -115,6 +116,18 @@ def find_mixed_type_compare(spark, sf):
     return _find(spark, sf, {"k": {"$lt": "5"}, "none": {"$gt": "a"}})
 
 
+@query
+def find_page(spark, sf):
+    won = revisions.winners(recipes.revs(spark, sf)).withColumn("_doc", F.try_parse_json("body"))
+    return feed.find(won, compile_selector({"k": {"$gte": 1}}, F.col("_doc"), _meta())).select("id", "rev")
+
+
+@query
+def numbers_as_text(spark, sf):
+    price = F.col("o_totalprice") * 1000
+    return table(spark, sf, "orders").select("o_orderkey", js_number(price).alias("shown"), compile_selector({"p": {"$lt": "5"}}, typed={"p": number_column(price)}).alias("below"))
+
+
 @query
 def all_docs_range(spark, sf):
     return feed.all_docs(revisions.docs(recipes.revs(spark, sf)), start="1", end="5", inclusive_end=False, limit=50, skip=3)
@@ -134,7 +147,8 @@ def all_docs_keys(spark, sf):
 @query
 def revs_diff(spark, sf):
     r = recipes.revs(spark, sf)
-    wanted = r.where(F.col("seq") % 7 == 0).select("id", "rev").unionByName(r.where(F.col("seq") % 11 == 0).select("id", F.concat("rev", F.lit("x")).alias("rev")))
+    # every revision there is, and for each one that there is not
+    wanted = r.select("id", "rev").unionByName(r.select("id", F.concat("rev", F.lit("x")).alias("rev")))
     found = revisions.revs_diff(wanted, r)
     return found.select("id", F.size("missing").cast("bigint").alias("n"), _joined("missing").alias("missing"))
 
@@ -142,25 +156,57 @@ def revs_diff(spark, sf):
 @query
 def bulk_get(spark, sf):
     r = recipes.revs(spark, sf)
-    asked = r.where(F.col("seq") % 50 == 0).select(F.col("seq").alias("pos"), "id", F.when(F.col("seq") % 100 == 0, F.col("rev")).otherwise(F.lit(None)).alias("rev"))
+    # by revision and, every other time, by id alone
+    asked = r.select(F.col("seq").alias("pos"), "id", F.when(F.col("seq") % 2 == 0, F.col("rev")).otherwise(F.lit(None)).alias("rev"))
     return revisions.bulk_get(asked, r).withColumn("deleted", F.coalesce("deleted", F.lit(False)))
 
 
 @query
 def open_revs_latest(spark, sf):
     r = recipes.revs(spark, sf)
-    history = _with_history(r)
-    wanted = r.where(F.col("seq") % 97 == 0).select("id", "rev")
-    found = revisions.descendants_by_history(wanted, history)
+    found = revisions.descendants(r.select("id", "rev"), r)
     return found.groupBy("id", "rev").agg(F.count(F.lit(1)).alias("n"), F.min("leaf").alias("first"), F.max("leaf").alias("last"))
 
 
-def _with_history(r: DataFrame) -> DataFrame:
-    """Complete histories of the stand-in forest: revisions lie on one trunk of each document with side leaves, so a
-    revision's ancestors are those of the trunk before it."""
-    trunk = revisions.inner_revisions(r).select("id", F.col("gen").alias("g"), F.col("rev").alias("up"))
-    ups = r.join(trunk, "id").where(F.col("g") < F.col("gen")).groupBy("id", "rev").agg(F.sort_array(F.collect_list(F.struct("g", "up")), asc=False).alias("u"))
-    return r.join(ups, ["id", "rev"], "left").withColumn("history", F.concat(F.array("rev"), F.coalesce(F.transform("u", lambda x: x["up"]), F.array().cast("array<string>"))))
+@query
+def public_docs(spark, sf):
+    r = recipes.revs(spark, sf)
+    won = revisions.winners(r)
+    return revisions.public_doc(won.select("id", "rev", "deleted", "body"), revisions.conflicts(r)).select("id", "doc")
+
+
+@query
+def replicate_batch(spark, sf):
+    # the later half arrives as a batch, each revision with its parent; some parents are in the batch, some in the store
+    r = recipes.revs(spark, sf)
+    there = r.where(F.col("seq") <= SINCE).select("id", "rev", "gen", "parent_rev", "seq", "deleted", "body", "body_available")
+    batch = r.where(F.col("seq") > SINCE).select(F.col("seq").alias("pos"), "id", "rev", "deleted", "body", F.array_compact(F.array("rev", "parent_rev")).alias("ancestry"))
+    return revisions.replicate(there, batch).select("id", "rev", "gen", "parent_rev", "seq", "deleted", "body_available")
+
+
+@query
+def local_edits(spark, sf):
+    # each live document gets an edit of its winner, and one of a parent that is no leaf, which is a conflict
+    r = recipes.revs(spark, sf).select("id", "rev", "gen", "parent_rev", "seq", "deleted", "body", "body_available")
+    won = revisions.docs(r).where(~F.col("deleted"))
+    body = F.concat(F.lit('{"b":1,"a":"'), "id", F.lit('"}'))
+    edits = won.select((F.col("updated_seq") * 2).alias("pos"), "id", F.col("winning_rev").alias("parent"), F.lit(False).alias("deleted"), body.alias("body"))
+    stale = won.select((F.col("updated_seq") * 2 + 1).alias("pos"), "id", F.lit("1-none").alias("parent"), F.lit(False).alias("deleted"), body.alias("body"))
+    _, answer = revisions.apply_edits(r, edits.unionByName(stale))
+    return answer
+
+
+@query
+def local_checkpoints(spark, sf):
+    # of two writes to each user's document the first is taken; users whose number is even have a revision that they must name
+    users = table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("at"))
+    name = F.col("user_id").cast("string")
+    store = users.where("user_id % 2 = 0").select(name.alias("id"), F.lit("0-old").alias("rev"), F.lit("{}").alias("body"))
+    body = F.concat(F.lit('{"last_seq":'), F.col("at").cast("string"), F.lit("}"))
+    first = users.select((F.col("user_id") * 2).alias("pos"), name.alias("id"), F.when(F.col("user_id") % 4 == 0, F.lit("0-old")).alias("rev"), body.alias("body"), F.lit(False).alias("deleted"))
+    writes = first.unionByName(first.withColumn("pos", F.col("pos") + 1))
+    after, answer = local_docs.write_local(store, writes)
+    return answer.join(after.select("id", F.col("body").alias("now")), "id", "left").select("pos", "id", "rev", "status", "now")
 
 
 @query
@@ -425,6 +471,100 @@ def missing_chunks(spark, sf):
 
 @query
 def media_types(spark, sf):
-    kinds = F.element_at(F.array(*(F.lit(x) for x in ("png", "md", "bin", "PDF"))), (F.col("page_id") % 4 + 1).cast("int"))
-    rows = table(spark, sf, "pages").select(F.concat(F.lit("a.b/"), F.col("page_id").cast("string"), F.lit("."), kinds).alias("path"))
-    return rows.select("path", paths.media_type(F.col("path")).alias("media_type"), paths.is_safe(F.col("path")).alias("safe"))
+    names = ("png", "md", "bin", "PDF", "txt", "html", "css", "mp3", "wav", "mp4", "jpeg", "svg", "json", "md/x")
+    kinds = F.element_at(F.array(*(F.lit(x) for x in names)), (F.col("page_id") % len(names) + 1).cast("int"))
+    rows = table(spark, sf, "pages").select(F.concat(F.lit("a.b/"), F.col("page_id").cast("string"), F.lit("."), kinds).alias("path"), F.when(F.col("page_id") % 5 == 0, F.lit("text/x-own")).when(F.col("page_id") % 5 == 1, F.lit("bad\n")).alias("own"))
+    return rows.select("path", paths.media_type(F.col("path"), F.col("own")).alias("media_type"), paths.is_safe(F.col("path")).alias("safe"))
+
+
+@query
+def safe_paths(spark, sf):
+    made = F.element_at(F.array(*(F.lit(x) for x in ("", "/", "../", "a/../", "a//", "./", "a\\", "a\x01/", "b/c/"))), (F.col("page_id") % 9 + 1).cast("int"))
+    rows = table(spark, sf, "pages").select("page_id", F.concat(made, F.col("page_id").cast("string")).alias("path"))
+    return rows.select("page_id", paths.is_safe(F.col("path")).alias("safe"), paths.is_hidden(F.col("path")).alias("hidden"))
+
+
+@query
+def base64_strict(spark, sf):
+    good = F.base64(F.encode(F.substring("text", 1, 40), "UTF-8"))
+    tail = F.element_at(F.array(*(F.lit(x) for x in ("", "\n", "=", "A", " "))), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf, "documents").where("length(text) > 0").select("doc_id", F.concat(good, tail).alias("code"))
+    return rows.select("doc_id", F.md5(hashing.strict_base64(F.col("code"))).alias("digest"))
+
+
+@query
+def chunk_ids(spark, sf):
+    pieces = content.chunk_note(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return pieces.select(F.col("id").alias("doc_id"), "pos", F.col("child").alias("chunk"), F.length("data").alias("chars"))
+
+
+@query
+def stored_chunks(spark, sf):
+    pieces = content.chunk_note(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return content.store_chunks(pieces).select("id", F.md5("data").alias("digest"))
+
+
+@query
+def dependent_notes(spark, sf):
+    # notes that list a chunk which has changed
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", F.md5("text").alias("chunk"))
+    notes = turns.groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("turn", "chunk"))).alias("c")).select("id", F.transform("c", lambda x: x["chunk"]).alias("children"))
+    return content.dependents(turns.where("turn = 1").select(F.col("chunk").alias("id")).distinct(), notes)
+
+
+@query
+def term_shards(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(tokens.ascii_tokens(F.col("text"))).alias("term")).distinct()
+    return words.groupBy(hashing.term_shard(F.col("term")).alias("shard"), hashing.term_bucket(F.col("term")).alias("bucket")).agg(F.count(F.lit(1)).alias("terms"))
+
+
+@query
+def revision_parts(spark, sf):
+    r = recipes.revs(spark, sf)
+    return r.select("id", "rev", hashing.rev_generation(F.col("rev")).alias("gen"), hashing.rev_digest(F.col("rev")).alias("digest"), hashing.rev_generation(F.concat(F.lit("x"), "rev")).alias("none"))
+
+
+@query
+def vector_ids(spark, sf):
+    return table(spark, sf, "pages").select("page_id", hashing.vector_id(F.col("url"), F.col("page_id").cast("string")).alias("id"))
+
+
+@query
+def natural_order(spark, sf):
+    # places of all files' names in natural order
+    files = recipes.files(spark, sf).select("path", paths.natural_key(F.col("path")).alias("key"))
+    return numbered(files, "place", "key").select("path", "place")
+
+
+@query
+def mirror_sources(spark, sf):
+    docs = table(spark, sf, "documents")
+    kind = F.when(F.col("doc_id") % 7 == 0, F.lit("leaf")).when(F.col("doc_id") % 3 == 0, F.lit("newnote")).otherwise(F.lit("plain"))
+    name = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("e_"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", name.alias("id"), kind.alias("kind"), F.col("n_chars").alias("size"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("code"), "text")
+    content_of = F.when(F.col("kind") == "newnote", F.col("code")).otherwise(F.col("text"))
+    return rows.select("doc_id", mirror.unsupported(F.col("id"), F.col("kind"), F.col("size"), most=5000).alias("reason"), F.md5(mirror.decode(F.col("kind"), content_of)).alias("digest"))
+
+
+@query
+def retry_delays(spark, sf):
+    return table(spark, sf, "events").select("event_id", mirror.retry_delay((F.col("event_id") % 12).cast("int"), F.lit(0.5)).alias("seconds"))
+
+
+@query
+def stale_rewrite(spark, sf):
+    segs, live = _segments(spark, sf)
+    return fulltext.rewrite_plan(segs, live.select("path", "hash"), share=0.1, least=1)
+
+
+@query
+def overlay_rows(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("digest"))
+    delta = docs.where("doc_id % 4 = 0").select("doc_id", F.md5("digest").alias("digest"), (F.col("doc_id") % 8 == 0).alias("gone"))
+    return fulltext.overlay(docs, delta, ["doc_id"])
+
+
+@query
+def appended_blocks(spark, sf):
+    texts = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("content"))
+    return content.append_block(texts, "- [ ] task").select(F.col("id").alias("doc_id"), F.md5("content").alias("digest"))

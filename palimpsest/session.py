@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | None = None, name: str = "palimpsest") -> SparkSession:
@@ -30,10 +31,35 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the checkpoint folder that the session names; where none is named, as in tests, in a
-    local one."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` or the context names it.  Only a local master
+    goes on without one, with a temporary folder; on a cluster that would be each machine's own."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(rows: DataFrame, name: str, *by: str, first: int = 0) -> DataFrame:
+    """Rows numbered in the order of unique columns, from ``first`` on: ranges are ranked apart, each after the rows of those
+    before it, so no task sees all rows.  The driver sees one number per range."""
+    dealt = cut(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())
+    starts, at = [], first
+    for part, n in sizes:
+        starts.append((part, at))
+        at += n
+    before = F.broadcast(dealt.sparkSession.createDataFrame(starts, "_range int, _start long"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return dealt.withColumn(name, place).join(before, "_range").withColumn(name, F.col(name) + F.col("_start") - 1).drop("_range", "_start")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import fulltext, log, mirror, vectors
+from palimpsest.operators import fulltext, log, mirror, revisions, vectors
 from palimpsest.sources import change_source, documents
 from palimpsest.streaming import consumer, windows
 
@@ -131,3 +132,18 @@ def test_documents(spark, tmp_path):
     documents.check_limits(spark.createDataFrame([("{}",)], "body string"))
     with pytest.raises(ValueError):
         documents.check_limits(spark.range(1001).select(F.lit("{}").alias("body")))
+
+
+def test_a_mirror_stays_in_its_folder(spark, tmp_path):
+    root = tmp_path / "mirror"
+    root.mkdir()
+    (root / "out").symlink_to(tmp_path)
+    rows = spark.createDataFrame([("a/b.md", b"x"), ("../escaped.txt", b"x"), (str(tmp_path / "absolute.txt"), b"x"), ("out/linked.txt", b"x"), (None, b"x")], "path string, bytes binary")
+    assert [r.path for r in mirror.write_files(rows, str(root)).collect()] == ["a/b.md"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["mirror"]
+
+
+def test_public_documents(spark):
+    rows = spark.createDataFrame([("a", "1-x", False, '{"_id":"b","_rev":"0-y","_conflicts":[],"v":{"w":[1,null]}}', ["1-x"]), ("d", "2-z", True, "{}", ["2-z", "1-q"])], "id string, rev string, deleted boolean, body string, history array<string>")
+    got = {r.id: json.loads(r.doc) for r in revisions.public_doc(rows, history=True).collect()}
+    assert got == {"a": {"_id": "a", "_rev": "1-x", "_revisions": {"start": 1, "ids": ["x"]}, "v": {"w": [1, None]}}, "d": {"_id": "d", "_rev": "2-z", "_deleted": True, "_revisions": {"start": 2, "ids": ["z", "q"]}}}
