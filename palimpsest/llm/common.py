@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir, cut  # noqa: F401
+
 #: The word of every contract: a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one is set only where none is (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = os.path.join(tempfile.gettempdir(), "palimpsest-checkpoints")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, where lost executors do not matter."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: A table that is joined by broadcast may have at most so many rows; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
 

@@ -170,22 +170,78 @@ def test_models_are_distributions():
 PAGE = '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu {n}</a></li></ul></nav><!-- c --><div class="ad">Buy {n}</div><article><h1>Head {n} &amp; more</h1><p><b>First   part {n}.<br><p>Second\nline &lt;{n}&gt;.</p><p>Share this page</p></article><div id="comments"><p>Reader {n}</p></div><footer>&copy; site</footer></body></html>'
 
 
-def test_article_only():
-    pages = [PAGE.replace("{n}", str(i)) for i in range(6)]
+def host(pages):
+    """The finished wrapper of a host's pages."""
     w = None
-    for p in pages:
-        new = wrapper.fold(wrapper.parse(p), wrapper._hash(p))
+    for p in sorted(set(pages), key=wrapper._hash):
+        new = wrapper.fold(wrapper.parse(p))
         w = new if w is None else wrapper.merge(w, new)
-    assert wrapper.extract(wrapper.parse(pages[2]), w) == "Head 2 & more\nFirst part 2.\nSecond line <2>.\nShare this page"
+    return wrapper.finished(w)
+
+
+def texts(pages, w=None):
+    w = w or host(pages)
+    return [wrapper.extract(wrapper.parse(p), w) for p in pages]
+
+
+def test_article_only():
+    pages = [PAGE.replace("{n}", str(i)) for i in range(6)]
+    assert texts(pages)[2] == "Head 2 & more\nFirst part 2.\nSecond line <2>."
     # without an article, constant text of the host is template
     loose = [f"<div><p>Welcome</p><span>Story {i}</span><h2>Part {i}</h2><pre>our imprint</pre></div>" for i in range(6)]
-    w = None
-    for p in loose:
-        new = wrapper.fold(wrapper.parse(p), wrapper._hash(p))
-        w = new if w is None else wrapper.merge(w, new)
-    assert wrapper.extract(wrapper.parse(loose[3]), w) == "Story 3\nPart 3"
-    one = wrapper.fold(wrapper.parse(loose[0]), "x")
-    assert wrapper.extract(wrapper.parse(loose[0]), one) == "Welcome\nStory 0\nPart 0\nour imprint"
+    assert texts(loose)[3] == "Story 3\nPart 3"
+    assert texts(loose[:1]) == ["Welcome\nStory 0\nPart 0\nour imprint"]
+
+
+def test_a_constant_sibling_is_template_wherever_it_stands():
+    pages = [f"<div><p>Story {i}</p>" + "".join(f"<p>more {i} {k}</p>" for k in range(i % 3)) + "<p>Follow us on our channel.</p></div>" for i in range(8)]
+    assert texts(pages) == ["\n".join([f"Story {i}", *(f"more {i} {k}" for k in range(i % 3))]) for i in range(8)]
+
+
+def test_order_of_pages_does_not_matter():
+    r = random.Random(3)
+    pages = ["<div>" + "".join(r.choice(("<p>{}</p>", "<h3>{}</h3>", "<div><p>{}</p><b>x</b></div>")).format(r.choice(("same", "other", str(r.random())))) for _ in range(r.randint(1, 9))) + "</div>" for _ in range(15)]
+    want = host(pages)
+    for _ in range(5):
+        r.shuffle(pages)
+        assert host(pages) == want
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<body class="right-sidebar single"><article><p>Hello world.</p></article></body>', "Hello world."),
+        ('<div class="content-with-sidebar"><h1>T</h1><p>Hello world.</p></div>', "T\nHello world."),
+        ('<form id="aspnetForm"><p>Hello world.</p></form>', "Hello world."),
+        ("<nav>a</nav><form>Login <label>name</label></form>", ""),
+        ('<div class="comments"><p>nice one</p></div>', ""),
+        ("<article><p>teaser</p></article><div><p>" + "a long story " * 30 + "</p></div>", "teaser\n" + ("a long story " * 30).strip()),
+        ('<div class="has-sidebar"><main><p>yes</p><div class="comments"><article class="comment"><p>no</p></article></div></main><div id="mainSidebar"><article><p>no</p></article></div></div>', "yes"),
+        ("<article><p>yes</p></article><p>short</p>", "yes"),
+        ("<div>" * 3000 + "deep <b>x</b>" + "</div>" * 10 + " after<nav>no</nav>", "deep x\nafter"),
+        ("<div>" * 1500 + "<nav><p>no</p></nav><p>a</p>text<p>b</p>" + "</div>" * 1500 + "end", "a\ntext\nb\nend"),
+        ("</div>" * 3000 + "<p>a" * 3000, "\n".join("a" * 3000)),
+    ],
+)
+def test_ancestors_and_depth(html, want):
+    assert wrapper.extract(wrapper.parse(html), None) == want
+    assert wrapper.fold(wrapper.parse(html))[2] == 1
+
+
+# Pages with labels: what is article was marked by hand.
+LABELLED = [
+    ("<div id=page><div class=site-header>Daily {n}</div><div class=crumbs>Home &gt; {n}</div><div class=story><h1>{t}</h1><p>{a}</p><p>Subscribe for more stories.</p><p>{b}</p></div><div class=box>All rights reserved</div></div>", "Home > {n}\n{t}\n{a}\n{b}"),
+    ("<main><h1>{t}</h1><div class='share-bar'>share</div><section><p>{a}</p></section><p>{b}</p><ul class=tags><li>Tags:</ul></main><div class='post-comments'><p>first!</p></div>", "{t}\n{a}\n{b}"),
+    ("<table><tr><td>Menu<td><h2>{t}</h2><p>{a}<p>{b}<tr><td>Imprint</table>", "{t}\n{a}\n{b}"),
+    ("<form action=/ id=form1><div class='wrapper no-ads'><h1>{t}</h1><div>{a}<br>{b}</div><button>Send</button></div></form>", "{t}\n{a} {b}"),
+]
+
+
+@pytest.mark.parametrize("template,want", LABELLED)
+def test_labelled_pages(template, want):
+    r = random.Random(1)
+    rows = [{"n": n, "t": f"Title {n}", **{k: " ".join(r.choice("abcdefg") * r.randint(2, 7) for _ in range(30)) + "." for k in "ab"}} for n in range(12)]
+    assert texts([template.format(**x) for x in rows]) == [want.format(**x) for x in rows]
 
 
 @pytest.mark.parametrize("html,want", [("", ""), ("plain  text", "plain text"), ("<p>a<p>b", "a\nb"), ("<p>x &unknown; &#65; &eacute;</p", "x &unknown; A é"), ("<ul><li>a<li>b</ul>", "a\nb"), ("<a title='x > y'>t</a>", "t"), ("a<script>if (a<b) x()</script>b", "a\nb"), ("<p hidden>no</p><p>yes</p>", "yes"), ("<<p>>", "<\n>"), ("<!-- never closed", ""), ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3")])
@@ -193,6 +249,16 @@ def test_broken_markup(html, want):
     assert wrapper.extract(wrapper.parse(html), None) == want
 
 
+def test_wrappers_of_a_large_host_in_any_partitions(spark):
+    rows = [(i, "http://big.example/", f"<div><p>Story {i}</p>" + ("<p>Rare note</p>" if i % 5 == 0 else "") + "<p>Constant</p></div>") for i in range(400)]
+    rows += [(1000 + i, f"http://h{i}.example/", "<p>only one</p>") for i in range(5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    a, b = ({r.page_id: r.text for r in wrapper.main_text(pages.repartition(n)).collect()} for n in (1, 7))
+    assert a == b and all(a[i] == f"Story {i}" for i in range(400)) and a[1000] == "only one"
+    one, two = ({r.host: r.wrapper for r in wrapper.induce(pages.repartition(n).selectExpr("'h' as host", "html")).collect()} for n in (1, 5))
+    assert one == two and one["h"].count("[") > 2
+
+
 def test_pages_hard_rows(spark):
     rows = [(1, "http://a.com/1", None), (2, None, ""), (3, "bad", "<p>x"), (3, "bad", "<p>x"), (4, "http://a.com/2", PAGE.replace("{n}", "long " * 20000))]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("text", F.lit("clash"))
