@@ -3,19 +3,22 @@
 Vectors are projected to a few dimensions ``CURVES`` times, each time with another projection and shift, and ordered along a
 Hilbert curve there.  Each ordering is range-partitioned and cut into blocks of equal length.  A query is compared with its
 own block and the two beside it in every ordering, on the original vectors in double precision; what the orderings find is
-merged and reranked.
+merged and reranked: the best few more than K of each query are scored once more, by one sum in the order of the components,
+so a score and its rank do not depend on how rows were batched.
 
 The block length is fitted: the exact neighbours of a bounded sample of queries (``TUNE`` of them, against all rows, in
 blocks) show how far along the nearest of the orderings a neighbour lies, and the blocks are as long as ``REACH`` of these
-distances.  On vectors with structure that is a small part of the table; on directionless noise, as in the synthetic tables,
-no ordering is near and the blocks become a tenth of it.  Recall is what is held fixed.
+distances, in a table of any size.  On vectors with structure that is a small part of the table; on directionless noise, as in
+the synthetic tables, no ordering is near and the blocks become a tenth of it.  Recall is what is held fixed.
 
 Rows of the very same vector are one class in the index; a class stands for its K + 1 smallest ids, as no later one can be
 among the K nearest of any query.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, as queries or as
 candidates, nor do vectors of another length than the first valid one by id; a null id takes no part.  With fewer than K
-candidates all are returned; equal scores go to the smaller id; repeated rows are rows.  An empty table gives an empty result.
+candidates all are returned; equal scores go to the smaller id.  A row that is repeated under its id is one row, as a query and
+as a candidate; of different vectors under one id the smallest counts, by its components in order, and the id is a query if
+any of its rows is.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ K, CURVES, DIMS, BITS, SEED = 20, 8, 6, 10, 20240501
 #: Rows that the projections are scaled by, queries that the block length is fitted on, and the share of their neighbours
 #: that must lie within one block.
 SAMPLE, TUNE, REACH = 4096, 64, 0.96
-LEAST_BLOCK = 512
+
+#: Classes beyond K + 1 that are scored once more: what rounding may have put in another order.
+SPARE = 8
 
 #: Rows that are multiplied at once.
 STEP = 4096
@@ -52,18 +57,18 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of (vec_id, v): members (vec_id, cls) and classes (cls, ids, v); cls is the smallest id of a vector."""
+def classes_of(vectors: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """Of (vec_id, v), each id once: members (vec_id, cls) and classes (cls, ids, v); cls is the smallest id of a vector."""
     named = cut(vectors.select("vec_id", "v", F.struct(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).alias("h")))
     groups = named.groupBy("h").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("n"))
     groups = cut(groups)
     members = cut(named.select("vec_id", "h").join(groups.select("h", "cls", "n"), "h").select("vec_id", "cls", "n"))
     # the smallest ids of a class: first within salted parts, so that a class of any size is ranked in parts
     shared = members.where("n > 1").withColumn("salt", F.pmod(F.hash("vec_id"), F.lit(64)))
-    part = shared.withColumn("r", F.row_number().over(Window.partitionBy("cls", "salt").orderBy("vec_id"))).where(F.col("r") <= K + 1)
-    first = part.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("vec_id"))).where(F.col("r") <= K + 1)
+    part = shared.withColumn("r", F.row_number().over(Window.partitionBy("cls", "salt").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    first = part.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     lists = first.groupBy("cls").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    reps = named.select(F.col("vec_id").alias("cls"), "v").join(groups.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    reps = named.select(F.col("vec_id").alias("cls"), "v").join(groups.select("cls"), "cls", "left_semi")
     classes = reps.join(lists, "cls", "left").select("cls", F.coalesce("ids", F.array("cls")).alias("ids"), "v")
     return members.select("vec_id", "cls"), cut(classes)
 
@@ -128,11 +133,10 @@ def _compare(queries: np.ndarray, rows: Iterator[tuple[np.ndarray, np.ndarray]],
     """The k best classes for each query among rows (cls, matrix) that stream by."""
     best, who = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64)
     for cls, matrix in rows:
+        parts = []
         for a in range(0, len(queries), STEP):
             part = slice(a, a + STEP)
             s, w = _best(queries[part] @ matrix.T, np.broadcast_to(cls, (len(queries[part]), len(cls))), k)
-            if a == 0:
-                parts = []
             parts.append((s, w))
         s, w = (np.concatenate(x) for x in zip(*parts, strict=True))
         best, who = _best(np.concatenate((best, s), 1), np.concatenate((who, w), 1), k)
@@ -159,15 +163,33 @@ def _exact(classes: DataFrame, queries: np.ndarray, names: np.ndarray, k: int) -
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def _block_length(classes: DataFrame, ranks: DataFrame, asked: DataFrame, n: int) -> int:
+def _block_length(classes: DataFrame, ranks: DataFrame, asked: DataFrame, n: int, k: int) -> int:
     sample = asked.orderBy(F.xxhash64("cls"), "cls").limit(TUNE).collect()
     names = np.array([r["cls"] for r in sample], np.int64)
-    exact = _exact(classes, np.array([r["v"] for r in sample], np.float64), names, K + 1).where("q <> cls")
+    exact = _exact(classes, np.array([r["v"] for r in sample], np.float64), names, k + 1).where("q <> cls")
     # a neighbour is as far as it is in the ordering where it is nearest
     q = ranks.select(F.col("cls").alias("q"), "curve", F.col("rank").alias("qr"))
     far = exact.join(ranks, "cls").join(q, ["q", "curve"]).groupBy("q", "cls").agg(F.min(F.abs(F.col("rank") - F.col("qr"))).alias("d")).collect()
     reach = int(np.quantile([r["d"] for r in far], REACH)) + 1 if far else 1
-    return min(max(LEAST_BLOCK, reach), max(n, 1))
+    return min(reach, max(n, 1))
+
+
+def _one_row_each(rows: DataFrame) -> DataFrame:
+    """Rows (vec_id, v, asks) with each id once; only rows of repeated ids travel with their vectors."""
+    again = cut(rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"))
+    if again.isEmpty():
+        return rows
+    again = small_side(again)
+    merged = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+    return cut(rows.join(again, "vec_id", "left_anti").unionByName(merged))
+
+
+def _rescored(hits: DataFrame, classes: DataFrame) -> DataFrame:
+    """hits (q, cls) with the inner product of their vectors, summed in order."""
+    of = classes.select("cls", "v")
+    both = hits.select("q", "cls").join(of, "cls").join(of.select(F.col("cls").alias("q"), F.col("v").alias("w")), "q")
+    products = F.zip_with("v", "w", lambda x, y: x.cast("double") * y.cast("double"))
+    return both.select("q", "cls", F.aggregate(products, F.lit(0.0), lambda a, x: a + x).alias("score"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K) -> DataFrame:
@@ -176,24 +198,25 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     rows = vectors.where(F.col(vec_id).isNotNull() & _valid(F.col(embedding))).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = cut(rows)
     first = rows.select(F.min_by(F.size("v"), F.col("vec_id")).alias("dims")).first().dims
-    rows = rows.where(F.size("v") == F.lit(first if first is not None else 0))
-    members, classes = classes_of(rows.select("vec_id", "v"))
+    rows = _one_row_each(rows.where(F.size("v") == F.lit(first if first is not None else 0)))
+    members, classes = classes_of(rows.select("vec_id", "v"), k)
     n = classes.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # no repeated id stands in two classes but by different vectors; a query is told by its id
-    queries = rows.where("asks").select("vec_id").distinct().join(members, "vec_id")
+    queries = rows.where("asks").select("vec_id").join(members, "vec_id")
     asked = cut(classes.join(queries.select("cls").distinct(), "cls", "left_semi").select("cls", "v"))
     sample = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("v").collect()
     curves = Curves(np.array([r["v"] for r in sample], np.float64))
     ranks = cut(_ranks(classes, curves))
-    length = _block_length(classes, ranks, asked, n)
+    length = _block_length(classes, ranks, asked, n, k)
     block = F.floor(F.col("rank") / length)
     data = ranks.select("cls", "curve", block.alias("block"), F.lit(1).alias("kind")).join(classes.select("cls", "v"), "cls")
     near = ranks.join(asked, "cls").select("cls", "curve", F.explode(F.array(block - 1, block, block + 1)).alias("block"), F.lit(0).alias("kind"), "v")
     both = data.select("curve", "block", "kind", "cls", "v").unionByName(near.where(F.col("block") >= 0).select("curve", "block", "kind", "cls", "v"))
     both = both.repartition("curve", "block").sortWithinPartitions("curve", "block", "kind", "cls")
 
+    most = k + 1 + SPARE
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pieces() -> Iterator[tuple[tuple[int, int], int, np.ndarray, np.ndarray]]:
             """Runs of one block and kind, STEP rows at most."""
@@ -224,14 +247,15 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
                 if best is None:
                     stacked = np.concatenate(asking)
                     best, found = np.zeros((len(stacked), 0)), np.zeros((len(stacked), 0), np.int64)
-                s, w = _compare(stacked, iter([(cls, matrix)]), k + 1)
-                best, found = _best(np.concatenate((best, s), 1), np.concatenate((found, w), 1), k + 1)
+                s, w = _compare(stacked, iter([(cls, matrix)]), most)
+                best, found = _best(np.concatenate((best, s), 1), np.concatenate((found, w), 1), most)
         if best is not None:
             yield out(who, best, found)
 
     hits = both.mapInArrow(run, "q long, cls long, score double").groupBy("q", "cls").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
-    hits = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
+    hits = cut(hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r"))
+    hits = _rescored(hits, classes).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")
     # k + 1 ids at most for a class of queries: one may be the query itself
     ids = hits.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("id"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, shuffle_partitions, small_side
 from .url_filter import split_url
 
 #: A constant text is template if it stands on so many different pages of the host, and on one in so many of those that have
@@ -527,7 +527,7 @@ def _merged(wrappers: DataFrame) -> DataFrame:
         if out is not None:
             yield row(now, out)
 
-    dealt = wrappers.repartition("host", "group").sortWithinPartitions("host", "group", "page")
+    dealt = wrappers.repartition(shuffle_partitions(wrappers.sparkSession), "host", "group").sortWithinPartitions("host", "group", "page")
     return dealt.select("host", "group", "page", "wrapper").mapInArrow(run, "host string, group long, wrapper string")
 
 

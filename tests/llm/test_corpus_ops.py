@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +183,58 @@ def test_pipeline_stages(spark):
     for r in docs.collect():
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in items) <= 2048 for items in by.values())
+
+
+def _truth(vectors, queries, k=20):
+    """The k nearest of each query by brute force, ties to the smaller id."""
+    ids = np.array(sorted(vectors))
+    m = np.array([vectors[i] for i in ids], np.float64)
+    out = {}
+    for q in queries:
+        score = m @ np.array(vectors[q], np.float64)
+        score[ids == q] = -np.inf
+        out[q] = ids[np.lexsort((ids, -score))[: min(k, len(ids) - 1)]].tolist()
+    return out
+
+
+def test_nearest_of_many_blocks(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(400, 32))
+    points = (centres[rng.integers(0, 400, 20_000)] + 0.15 * rng.normal(size=(20_000, 32))).astype(np.float32)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": list(points)}), "vec_id long, embedding array<float>")
+    lengths = []
+    plain = nearest._block_length
+    try:
+        nearest._block_length = lambda *a: lengths.append(plain(*a)) or lengths[-1]
+        got = nearest.nearest(df.repartition(4), F.col("vec_id") % 200 == 0).collect()
+    finally:
+        nearest._block_length = plain
+    assert lengths[0] < 20_000 / 20  # far from a full comparison
+    want = _truth(dict(enumerate(points)), range(0, 20_000, 200))
+    found = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert all(len(x) == 20 for x in found.values()) and len(found) == 100
+    assert np.mean([len({*found[q]} & {*want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_nearest_with_repeated_and_conflicting_ids(spark):
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=8).astype(np.float32).tolist() for i in range(60)}
+    rows = [(i, v) for i, v in vectors.items()] + [(0, vectors[0])] * 2 + [(20, vectors[20])]
+    low, high = sorted((vectors[7], rng.normal(size=8).astype(np.float32).tolist()))
+    rows = [r for r in rows if r[0] != 7] + [(7, high), (7, low), (7, high)]
+    vectors[7] = low
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = nearest.nearest(df, F.col("vec_id") % 20 == 0).collect()
+    assert len({(r.query_id, r["rank"]) for r in got}) == len(got) == 60
+    want = _truth(vectors, (0, 20, 40))
+    found = {q: {r.vec_id for r in got if r.query_id == q} for q in want}
+    assert np.mean([len(found[q] & {*want[q]}) / 20 for q in want]) >= 0.9
+    by_hand = {(r.query_id, r.vec_id): r.score for r in got}
+    for (q, v), score in by_hand.items():
+        total = 0.0
+        for x, y in zip(vectors[v], vectors[q], strict=True):
+            total += float(np.float32(x)) * float(np.float32(y))
+        assert score == total
