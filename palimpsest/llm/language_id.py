@@ -1,11 +1,16 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 The models live in sorted arrays of hashed n-grams with a column of log-probabilities per language; the chosen language is
-the one of the lowest cross-entropy per character.  A text is rejected if even that cross-entropy is far from what pieces of
-its length and language have on documents that the models were not fitted on.
+the one of the lowest cross-entropy per character.  A text is rejected if even that cross-entropy is above what all but a
+share of ``FALSE_REJECT`` of pieces of its length and language have, in documents that the models were not fitted on: beyond
+the ``TAIL`` highest of those pieces their exceedances are continued as an exponential tail.  For this each ``WINDOW`` of
+a text is taken in its own best language, and of the windows the ``MAIN_PART`` that fits best, so a text that changes from
+one known language to another, or quotes an unknown one, is not rejected.
 
-Fitting reads a bounded sample of labelled rows: ``SAMPLE`` documents of each language, those of the lowest hash of
-doc_id and text; one in five is kept back for calibration.  Prediction reads whole texts.
+Fitting reads a bounded sample of labelled rows: of the ``LANGUAGES`` most frequent labels ``SAMPLE`` different texts each,
+those of the lowest hash, as far as they have ``CHARS`` characters together, the first one whole whatever its length.  A text
+that is repeated counts once, and a language of one text has a model.  One text in five is kept back for calibration.
+Prediction reads whole texts.
 
 Characters are lower-cased; whatever is no letter counts as one space.  Defined results: a null text, or one without a
 letter, is ``und`` with score 0 and is rejected; equal cross-entropies go to the smaller language by code point; repeated
@@ -15,6 +20,7 @@ are scored in blocks, never cut.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,16 +29,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 ORDER, DISCOUNT = 4, 0.75
 
-#: Labelled documents that are read per language, and languages at most: the bound of the sample.
-SAMPLE, LANGUAGES = 1500, 500
+#: Labelled texts that are read per language, languages, and characters of all languages together: the bound of the sample.
+SAMPLE, LANGUAGES, CHARS = 1500, 64, 24_000_000
 
 #: Lengths at which the bound of each language is calibrated, and pieces of each length that are taken from a document.
 BANDS, PIECES = (16, 64, 256, 1024, 4096), 4
 
-#: How many deviations, of pieces of its length and language, above their usual cross-entropy a text may lie.
-REJECT_AT = 14.0
+#: Texts of a known language that may be rejected, and the share of the calibration that tells of the tail.
+FALSE_REJECT, TAIL = 1e-4, 0.1
+
+#: Least mean exceedance that is taken for the tail's, in nats per character at one character; it falls with the root of the
+#: length.  Few pieces may happen to lie close together.
+LEAST_EXCESS = 0.3
+
+#: Characters of a text that are in one language, as far as rejection goes, and the share of them that is looked at.
+WINDOW, MAIN_PART = 64, 2 / 3
 
 #: Sharpness of the score, the share of the best language among exp(-SHARP * cross-entropy).
 SHARP = 10.0
@@ -138,24 +153,35 @@ class Models:
         """The limit for texts of n characters in language i, between the bands by log n."""
         at = np.interp(np.log(np.maximum(n, 1)), np.log(BANDS), np.arange(len(BANDS)))
         low = np.minimum(at.astype(np.int64), len(BANDS) - 2)
-        found = self.limit[low, i] + (at - low) * (self.limit[low + 1, i] - self.limit[low, i])
+        part = at - low
+        found = np.where(part > 0, (1 - part) * self.limit[low, i] + part * self.limit[low + 1, i], self.limit[low, i])
         # texts below the first band spread more, by the root of their length
         return found + np.maximum(np.sqrt(BANDS[0] / np.maximum(n, 1)) - 1, 0) * (self.limit[0, i] - self.mean[0, i])
 
-    def entropies(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per character by text and language, characters, has a letter."""
+    def entropies(self, texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy per character by text and language; that of its main part, with the best language of each ``WINDOW``;
+        characters; has a letter."""
         code, begin, has = _codes(texts, table)
-        total = np.zeros((len(begin), len(self.languages)))
+        n = np.diff(np.append(begin, len(code)))
+        # where windows begin; a text's first one is where it begins itself
+        windows = np.maximum(-(-n // WINDOW), 1)
+        first = np.concatenate(([0], np.cumsum(windows)))[:-1]
+        start = np.repeat(begin, windows) + WINDOW * (np.arange(windows.sum()) - np.repeat(first, windows))
+        total = np.zeros((len(start), len(self.languages)))
         gram = _grams(code, begin, ORDER)
-        # one text begins where the one before it ends, so sums between the beginnings are the texts' sums
+        # one window begins where the one before it ends, so sums between the beginnings are the windows' sums
         for a in range(0, len(code), BLOCK):
             logp = self._logp(gram[a : a + BLOCK], ORDER)
-            first = np.searchsorted(begin, a, side="right") - 1
-            last = np.searchsorted(begin, a + len(logp), side="left")
-            edges = np.maximum(begin[first:last] - a, 0)
-            total[first:last] += np.add.reduceat(logp, edges, axis=0, dtype=np.float64)
-        n = np.diff(np.append(begin, len(code)))
-        return -total / np.maximum(n, 1)[:, None], n, has
+            low = np.searchsorted(start, a, side="right") - 1
+            high = np.searchsorted(start, a + len(logp), side="left")
+            edges = np.maximum(start[low:high] - a, 0)
+            total[low:high] += np.add.reduceat(logp, edges, axis=0, dtype=np.float64)
+        best, size = -total.max(axis=1), np.maximum(np.minimum(WINDOW, np.repeat(begin + n, windows) - start), 1)
+        # the windows of each text, the plainest first, and of them those that count
+        order = np.lexsort((best / size, np.repeat(np.arange(len(n)), windows)))
+        counts = np.arange(len(start)) - np.repeat(first, windows) < np.repeat(np.ceil(windows * MAIN_PART), windows)
+        own, chars = (np.add.reduceat(np.where(counts, x[order], 0), first) for x in (best, size))
+        return -np.add.reduceat(total, first, axis=0) / np.maximum(n, 1)[:, None], own / chars, n, has
 
 
 def _split(texts: list[str], chars: int = BLOCK) -> Iterator[tuple[int, list[str]]]:
@@ -242,21 +268,23 @@ def _kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], languages: lis
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models | None:
-    """Models of every language of ``labelled`` (lang, text; other columns are ignored), from a bounded sample."""
+    """Models of the languages of ``labelled`` (lang, text; other columns are ignored), from a bounded sample."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     hashed = rows.withColumn("_h", F.xxhash64(F.lit("langid"), F.col("text")))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(LANGUAGES + 1).collect()}
-    if not n:
+    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_h").alias("texts"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
         return None
-    if len(n) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages are labelled")
-    # the hash picks about twice the sample first, so that what is ranked is bounded
+    # the hash picks about twice the sample first, so that what is ranked is bounded; repeated texts meet as one
     likely = F.lit(False)
-    for lang, many in n.items():
-        likely = likely | ((F.col("lang") == lang) & (F.pmod("_h", F.lit(1 << 20)) < int(min(1.0, 2 * (sample + 50) / many) * (1 << 20)) + 1))
-    ranked = hashed.where(likely).withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_r") <= sample)
-    from .common import cut
-
+    for r in sizes:
+        share = min(1.0, 2 * (sample + 50) / max(r["texts"], 1))
+        likely = likely | ((F.col("lang") == r["lang"]) & (F.pmod("_h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    different = hashed.where(likely).groupBy("lang", "_h").agg(F.any_value("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("_h", "text")
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = different.withColumn("_r", F.row_number().over(order)).withColumn("_before", before)
+    ranked = ranked.where((F.col("_r") <= sample) & (F.col("_before") + F.when(F.col("_r") > 1, F.length("text")).otherwise(0) <= CHARS // len(sizes)))
     chosen = cut(ranked.select("lang", "text", "_r"))
     counts: dict[str, tuple[list, list]] = {}
     for r in _count(chosen.where(F.col("_r") % 5 != 0)):
@@ -275,18 +303,26 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models | None:
     cuts = [F.when(size >= n * (k + 1) if k else size > n // 2, F.struct(F.lit(band).alias("band"), F.substring("text", n * k + 1, n).alias("piece"))) for band, n in enumerate(BANDS) for k in range(PIECES)]
     pieces = held.select("lang", F.explode(F.array_compact(F.array(*cuts))).alias("p")).select("lang", "p.band", "p.piece")
     judged = predict_frame(pieces, models, ["lang", "band"], "piece").where(F.col("lang") == F.col("lang_pred"))
-    rows = judged.groupBy("lang", "band").agg(F.avg("entropy").alias("m"), F.stddev_pop("entropy").alias("d"), F.max("entropy").alias("top")).collect()
-    # never below what calibration documents have, and a deviation of few pieces is not taken for none
-    known = {(r["band"], r["lang"]): (r["m"], max(r["m"] + REJECT_AT * max(r["d"], 0.02), r["top"] + max(r["d"], 0.02))) for r in rows}
+    # the sample bounds these: PIECES numbers for each band of each text that was kept back
+    rows = judged.groupBy("lang", "band").agg(F.sort_array(F.collect_list("entropy")).alias("e")).collect()
+    known = {(r["band"], r["lang"]): _tail(np.array(r["e"]), BANDS[r["band"]]) for r in rows}
     for band in range(len(BANDS)):
         own = [v for (b, _), v in known.items() if b == band]
         for i, x in enumerate(languages):
-            # a length that calibration lacks takes the wider bound of the band below, or the widest of the other languages
+            # a length that calibration lacks takes the bound of the band below, or the widest of the other languages
             widest = max(own, key=lambda v: v[1]) if own else (0.0, np.inf)
             models.mean[band, i], models.limit[band, i] = known.get((band, x)) or ((models.mean[band - 1, i], models.limit[band - 1, i]) if band else widest)
     return models
 
 
+def _tail(entropies: np.ndarray, length: int) -> tuple[float, float]:
+    """The mean of sorted cross-entropies of pieces of one length, and the value that a share of ``FALSE_REJECT`` exceeds."""
+    top = max(1, int(len(entropies) * TAIL))
+    edge = entropies[-top - 1] if len(entropies) > top else entropies[0]
+    excess = max(float((entropies[-top:] - edge).mean()), LEAST_EXCESS / math.sqrt(length))
+    return float(entropies.mean()), float(edge + excess * math.log(TAIL / FALSE_REJECT))
+
+
 def predict_frame(docs: DataFrame, models: Models | None, keep: Sequence[str], text: str = "text") -> DataFrame:
     """``keep`` columns with lang_pred, score, entropy and rejected."""
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
@@ -306,10 +342,10 @@ def predict_frame(docs: DataFrame, models: Models | None, keep: Sequence[str], t
                     if own is None:
                         lang, score, best, bad = [UNKNOWN] * len(part), np.zeros(len(part)), np.full(len(part), np.nan), np.ones(len(part), bool)
                     else:
-                        ce, n, has = own.entropies(part, table)
+                        ce, own_best, n, has = own.entropies(part, table)
                         i = ce.argmin(axis=1)
-                        best = ce[np.arange(len(i)), i]
-                        score = 1 / np.exp(-SHARP * (ce - best[:, None])).sum(axis=1)
+                        score = 1 / np.exp(-SHARP * (ce - ce[np.arange(len(i)), i][:, None])).sum(axis=1)
+                        best = own_best
                         bad = ~has | (best > own.bound(n, i))
                         lang = [own.languages[k] if h else UNKNOWN for k, h in zip(i, has, strict=True)]
                         score, best = np.where(has, score, 0.0), np.where(has, best, np.nan)
