@@ -62,6 +62,30 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == brute_components(rows, 85)
 
 
+def template_cloud(n, pairs, seed=1):
+    """Documents of one template that are at 0.80 to each other but for some pairs at 0.864."""
+    rng = random.Random(seed)
+    word = lambda: f"u{rng.getrandbits(60):x}"
+    template = [f"t{i}" for i in range(360)]
+    rows = []
+    for i in range(n):
+        own = [word() for _ in range(40)]
+        if i < 2 * pairs and i % 2:
+            own[:15] = rows[-1][1][200:215]
+        rows.append((i, template[:200] + own + template[200:]))
+    rng.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in rows]
+
+
+def test_pairs_within_a_dense_region(spark):
+    rows = template_cloud(5200, 200)
+    first = dict(rows)
+    a, b = shingles(first[0]), shingles(first[1])
+    assert 0.86 < len(a & b) / len(a | b) < 0.87 and len(a & shingles(first[2])) / len(a | shingles(first[2])) < 0.81
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: i - i % 2 if i < 400 else i for i in range(5200)}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
