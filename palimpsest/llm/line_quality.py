@@ -29,8 +29,9 @@ SYMBOLS = "#*$%&|<>"
 #: Words that part the entries of a menu.
 SEPARATORS = ("|", "»", "›", "•", "·")
 
+# Full stops, exclamation and question marks of the scripts that have their own.
 #: A line that has none of these is not a sentence.
-SENTENCE_MARKS = (".", "!", "?", "…")
+SENTENCE_MARKS = (".", "!", "?", "…", "。", "｡", "．", "！", "？", "؟", "۔", "।", "॥", "։", "՞", "።", "፧", "။", "។", "᠃", "‼", "⁇", "⁈", "⁉")
 
 #: A line with one of these (A-Z lower-cased) is a notice of a site, not text.
 BOILERPLATE = (
@@ -46,6 +47,18 @@ BOILERPLATE = (
     "lorem ipsum",
     "back to top",
     "skip to content",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "wir verwenden cookies",
+    "nutzungsbedingungen",
+    "tous droits réservés",
+    "nous utilisons des cookies",
+    "politique de confidentialité",
+    "conditions d’utilisation",
+    "todos los derechos reservados",
+    "utilizamos cookies",
+    "política de privacidad",
+    "términos de uso",
 )
 
 #: A line of so many words of which at most a quarter differ is filler.

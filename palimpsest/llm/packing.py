@@ -35,6 +35,9 @@ SHARE, SHARES_MOST = 100_000, 4096
 #: were met first, which are the frequent ones.
 CACHE, CACHE_KEEPS = 450_000, 300_000
 
+#: Longer chunks are encoded each time they come, so what a worker remembers is bounded in bytes too.
+CACHE_CHARS = 256
+
 # In texts of these characters only, the tokenizer's normal form is the lower case, and its words never cross a space.
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]")
 _PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u024f]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\u024f]+")
@@ -61,15 +64,19 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.passing: list[str] = []
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
+        for c in self.passing:
+            del self.known[c]
         if len(self.known) > CACHE:
             for c in list(itertools.islice(self.known, CACHE_KEEPS, None)):
                 del self.known[c]
         new = [c for c in chunks if c not in self.known]
+        self.passing = [c for c in new if len(c) > CACHE_CHARS]
         if not new:
             return
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")

@@ -265,3 +265,21 @@ def test_pages_hard_rows(spark):
     got = sorted((r.page_id, r.n_chars, r.text[:9]) for r in wrapper.main_text(pages).collect())
     assert [g[0] for g in got] == [1, 2, 3, 3, 4] and got[:4] == [(1, 0, ""), (2, 0, ""), (3, 1, "x"), (3, 1, "x")] and got[4][1] > 300_000 - 10
     assert wrapper.main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["यह एक वाक्य है।", "これは文です。", "هل هذا سؤال؟", "Это предложение."])
+def test_sentences_of_other_scripts(line):
+    assert line_quality.line_failure(line.encode(), line.encode().split()) is None
+
+
+@pytest.mark.parametrize("line", ["Alle Rechte vorbehalten.", "© Tous droits réservés.", "Nuestra política de privacidad."])
+def test_notices_of_other_languages(line):
+    assert line_quality.line_failure(line.encode(), line.encode().split()) == "boilerplate"
+
+
+def test_long_chunks_are_not_remembered():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    texts = ["x" * 100_000, "a word", "y" * 300 + " a"]
+    assert list(encoder.encode(texts)) == [encoder._slow(t) for t in texts]
+    assert list(encoder.encode(["a word"])) == [encoder._slow("a word")]
+    assert max(map(len, encoder.known)) <= packing.CACHE_CHARS
