@@ -1,20 +1,20 @@
 """The interface of a full-text index, and one that is kept in Parquet.
 
-Writers collect a batch and publish it in one step; searches go on with the published version.  A rebuild fills a second
-generation beside the first and takes its place when it is complete.
+Writers publish a batch as a segment in one step; searches go on with the version that they began with.  A rebuild fills a
+second generation beside the first and takes its place when it is complete.
 """
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tokens import ANALYZER, ascii_tokens
-from ..streaming.consumer import VersionedTable
 from . import fulltext
+from .postings import LAYOUT, SegmentIndex
 
 
 class FullTextIndex(ABC):
@@ -43,42 +43,32 @@ class FullTextIndex(ABC):
 
 
 class ParquetIndex(FullTextIndex):
-    """Notes with their text in a versioned table; tokens are rows of it that a query computes for its terms only."""
+    """A stored index of notes' contents by the ASCII analyzer: a search reads the postings of its terms."""
 
-    version = f"parquet-1 {ANALYZER}"
+    version = f"segments-{LAYOUT}"
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, generation: str = "active"):
         self.spark, self.root = spark, root.rstrip("/")
-        self.notes = VersionedTable(spark, f"{self.root}/active")
-
-    def _current(self) -> DataFrame:
-        rows = self.notes.read()
-        return rows if rows is not None else self.spark.createDataFrame([], "path string, hash string, content string")
+        self.segments = SegmentIndex(spark, self.root, generation=generation)
 
     def upsert(self, notes: DataFrame, batch: str) -> None:
-        now = self._current()
-        new = notes.select("path", "hash", "content").join(now.select("path", "hash"), ["path", "hash"], "left_anti").select("path", "hash", "content")
-        self.notes.publish(now.join(new.select("path"), "path", "left_anti").unionByName(new), batch)
+        self.segments.append(notes.select("path", "hash", "content"), batch)
+        self.segments.merge()
 
     def delete(self, paths: DataFrame, batch: str) -> None:
-        self.notes.publish(self._current().join(paths.select("path"), "path", "left_anti"), batch)
+        none = F.lit(None).cast("string")
+        self.segments.append(paths.select("path", none.alias("hash"), none.alias("content")), batch)
 
     def search(self, query, limit=10, accept=None, validate=None):
-        docs = self._current()
-        wanted = fulltext.word_phrases(query)
-        if not wanted:
-            return docs.select("path", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("match_count")).limit(0)
-        ok = docs.select("path", "hash")
-        ok = ok.where(accept) if accept is not None else ok
-        ok = validate(ok) if validate is not None else ok
-        sizes = docs.select("path", F.size(ascii_tokens(F.col("content"))).alias("length"))
-        return fulltext.search(fulltext.token_rows(docs, "path", "content"), sizes, wanted, limit, "path", accept=ok)
+        fresh = None
+        if validate is not None:
+            fresh = validate(self.segments.documents().select("path", "hash"))
+        return self.segments.search(fulltext.word_phrases(query), limit, accept=accept, validate=fresh).select("path", "score", "match_count")
 
     def begin_rebuild(self) -> ParquetIndex:
-        building = ParquetIndex(self.spark, self.root)
-        building.notes = VersionedTable(self.spark, f"{self.root}/building")
-        return building
+        return ParquetIndex(self.spark, self.root, f"build-{uuid.uuid4().hex}")
 
     def complete_rebuild(self, built: FullTextIndex) -> None:
         assert isinstance(built, ParquetIndex)
-        self.notes.publish(built._current(), f"rebuilt-{built.notes.current()}")
+        self.segments.adopt(built.segments, f"rebuilt-{built.segments.version()['number']}")
+        self.segments.sweep()

@@ -1,78 +1,62 @@
 """An append-only log of events with snapshots: commit, replay, reachability and garbage.
 
-A commit is a numbered Parquet folder; its number is taken by creating a marker file that must not exist yet, so of two
-writers one wins and the other learns that its head is stale.  State is a snapshot with the events after it laid over it.
+A commit is a Parquet folder that a numbered version names.  State is a snapshot with the events after it laid over it.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-
-
-class StaleHead(Exception):
-    """Another commit has taken the number."""
+from .heads import Heads, StaleHead
 
 
 class EventLog:
-    """Commits under ``root``; every path goes through Spark's file system, so any store that Spark reads will do."""
+    """Commits under ``root``."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.root}/heads"))
+        self.heads = Heads(spark, f"{self.root}/heads")
 
     def head(self) -> int:
         """The number of the last commit; 0 before the first."""
-        return max([0, *(int(s.getPath().getName()) for s in self._fs.listStatus(self._path(f"{self.root}/heads")) if s.getPath().getName().isdigit())])
-
-    def _entry(self, n: int) -> dict:
-        stream = self._fs.open(self._path(f"{self.root}/heads/{n:012d}"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return self.heads.head()
 
     def commit(self, events: DataFrame, head: int) -> int:
         """Appends ``events`` after ``head``; StaleHead if another commit came first.  Data is written before it is named,
         so a writer that dies leaves only an unnamed folder."""
-        name = f"{self.root}/data/{uuid.uuid4().hex}"
-        events.write.parquet(name)
-        n = head + 1
+        name = uuid.uuid4().hex
+        events.write.parquet(f"{self.root}/data/commit={name}")
         try:
-            out = self._fs.create(self._path(f"{self.root}/heads/{n:012d}"), False)
-        except Exception as e:
-            self._fs.delete(self._path(name), True)
-            raise StaleHead(n) from e
-        out.write(bytearray(json.dumps({"commit": n, "data": name}).encode()))
-        out.close()
-        return n
+            return self.heads.put(head, {"commit": head + 1, "after": head, "data": name})
+        except StaleHead:
+            self.heads.delete(f"{self.root}/data/commit={name}")
+            raise
 
     def history(self) -> list[dict]:
-        """All commits, oldest first."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/heads")))
-        return [self._entry(int(x)) for x in names if x.isdigit()]
+        """All commits, oldest first; each must follow the one before it."""
+        found = [self.heads.read(n) for n in self.heads.numbers()]
+        for i, e in enumerate(found):
+            if (e["commit"], e["after"]) != (i + 1, i):
+                raise ValueError(f"commit {e['commit']} does not follow {i}")
+        return found
 
     def events(self, after: int = 0) -> DataFrame | None:
-        """Events of the commits after a number, with ``commit_no``."""
-        parts = [self.spark.read.parquet(e["data"]).withColumn("commit_no", F.lit(e["commit"])) for e in self.history() if e["commit"] > after]
-        out = None
-        for p in parts:
-            out = p if out is None else out.unionByName(p)
-        return out
+        """Events of the commits after a number, with ``commit_no``: one read of all their folders."""
+        wanted = [e for e in self.history() if e["commit"] > after]
+        if not wanted:
+            return None
+        rows = self.spark.read.option("basePath", f"{self.root}/data").option("mergeSchema", "true").parquet(*(f"{self.root}/data/commit={e['data']}" for e in wanted))
+        numbers = self.spark.createDataFrame([(e["data"], e["commit"]) for e in wanted], "commit string, commit_no long")
+        return rows.join(F.broadcast(numbers), "commit").drop("commit")
 
     def garbage(self) -> list[str]:
         """Data folders that no commit names."""
-        named = {e["data"].rpartition("/")[2] for e in self.history()}
-        data = self._path(f"{self.root}/data")
-        return sorted(s.getPath().toString() for s in self._fs.listStatus(data) if s.getPath().getName() not in named) if self._fs.exists(data) else []
+        named = {f"commit={e['data']}" for e in self.history()}
+        return [f"{self.root}/data/{n}" for n in self.heads.names(f"{self.root}/data") if n not in named]
 
 
 def state_at(events: DataFrame, keys: list[str], order: str, until: int | None = None) -> DataFrame:

@@ -145,6 +145,14 @@ m AS (SELECT term AS phrase, doc_id, field, count(*) AS tf FROM (SELECT doc_id,
 df AS (SELECT phrase, count(DISTINCT doc_id) AS df FROM m GROUP BY phrase),
 s AS (SELECT m.doc_id, m.phrase, m.tf, CASE m.field WHEN 'body' THEN 1.0 ELSE 3.0 END * {_bm25('m.tf', 'df.df', 'l.length', 'av.n', 'av.average')} AS s FROM m JOIN df USING (phrase) JOIN av USING (field) JOIN l ON l.doc_id = m.doc_id AND l.field = m.field)
 SELECT doc_id, round(sum(s), 6) AS score, sum(tf)::BIGINT AS match_count FROM s GROUP BY doc_id HAVING count(DISTINCT phrase) = 2 ORDER BY sum(s) DESC, doc_id LIMIT 50""",
+    "index_append": f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok WHERE doc_id % 10 <> 0 GROUP BY term",
+    "index_merge": f"WITH {TOKENS} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok WHERE doc_id % 10 <> 0 GROUP BY term",
+    "index_search": f"""WITH {TOKENS}, {LENGTHS}, t AS (SELECT * FROM tok WHERE doc_id % 10 <> 0), l AS (SELECT * FROM len_ WHERE doc_id % 10 <> 0),
+m AS (SELECT 0 AS phrase, doc_id, count(*) AS tf FROM t WHERE term = 'the' GROUP BY doc_id UNION ALL SELECT 1, a.doc_id, count(*) FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.position = a.position + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY a.doc_id),
+df AS (SELECT phrase, count(*) AS df FROM m GROUP BY phrase), st AS (SELECT greatest(count(*), 1) AS n, greatest(avg(length), 1.0) AS average FROM l),
+s AS (SELECT m.doc_id, {_bm25('m.tf', 'df.df', 'l.length', 'st.n', 'st.average')} AS s, m.tf FROM m JOIN df USING (phrase) JOIN l USING (doc_id) CROSS JOIN st)
+SELECT doc_id, round(sum(s), 6) AS score, sum(tf)::BIGINT AS match_count FROM s GROUP BY doc_id HAVING count(*) = 2""",
+    "index_totals": f"WITH {LENGTHS} SELECT count(*) AS docs, sum(length)::BIGINT AS words FROM len_ WHERE doc_id % 10 <> 0",
     "segment_compact": f"""WITH {_SEG}, k AS (SELECT n.*, row_number() OVER (PARTITION BY path, hash ORDER BY segment, doc) AS nth FROM named n SEMI JOIN cur USING (path, hash)),
 kept AS (SELECT *, (row_number() OVER (ORDER BY segment, doc) - 1)::INTEGER AS new_doc FROM k WHERE nth = 1),
 t AS (SELECT new_doc, unnest(list_transform(regexp_extract_all(lower(body), '[a-z0-9_]+'), lambda x, i: {{'term': x, 'position': i - 1}})) AS t FROM kept),

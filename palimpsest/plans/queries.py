@@ -340,33 +340,47 @@ def corpus_stats(spark, sf):
     return fulltext.corpus_stats(fulltext.token_rows(docs), docs).withColumn("avg_length", F.round("avg_length", 6))
 
 
-def _lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(tokens.ascii_tokens(F.col("text"))).alias("length"))
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select(F.col("path").alias("doc_id"), F.round("score", 6).alias("score"), "match_count")
 
 
 @query
 def search_bm25(spark, sf):
-    docs = table(spark, sf, "documents")
-    hits = fulltext.search(fulltext.token_rows(docs), _lengths(docs), [[("the", 0)], [("of", 0)], [("thing", 0)]], 50)
-    return hits.select("doc_id", F.round("score", 6).alias("score"), "match_count")
+    return _hits(recipes.stored_index(spark, sf).search([[("the", 0)], [("of", 0)], [("thing", 0)]], 50, fields=["body"]))
 
 
 @query
 def search_phrase(spark, sf):
-    docs = table(spark, sf, "documents")
-    hits = fulltext.search(fulltext.token_rows(docs), _lengths(docs), [[("of", 0), ("the", 1)]], 50)
-    return hits.select("doc_id", F.round("score", 6).alias("score"), "match_count")
+    return _hits(recipes.stored_index(spark, sf).search([[("of", 0), ("the", 1)]], 50, fields=["body"]))
 
 
 @query
 def search_fields(spark, sf):
-    docs = table(spark, sf, "documents")
-    title = F.substring_index("text", "\n", 1)
-    fields = docs.select("doc_id", F.lit("body").alias("field"), F.posexplode(tokens.ascii_tokens(F.col("text"))).alias("position", "term")).unionByName(
-        docs.select("doc_id", F.lit("title").alias("field"), F.posexplode(tokens.ascii_tokens(title)).alias("position", "term"))
-    )
-    hits = fulltext.search_fields(fields, [[("and", 0)], [("is", 0)]], 50)
-    return hits.select("doc_id", F.round("score", 6).alias("score"), "match_count")
+    return _hits(recipes.stored_index(spark, sf).search([[("and", 0)], [("is", 0)]], 50, by_words=True))
+
+
+@query
+def index_append(spark, sf):
+    return recipes.grown_index(spark, sf).terms()
+
+
+@query
+def index_merge(spark, sf):
+    index = recipes.grown_index(spark, sf)
+    index.merge([s["name"] for s in index.version()["segments"]])
+    return index.terms()
+
+
+@query
+def index_search(spark, sf):
+    # every document that has both, by an index of three segments
+    return _hits(recipes.grown_index(spark, sf).search([[("the", 0)], [("of", 0), ("the", 1)]], None))
+
+
+@query
+def index_totals(spark, sf):
+    totals = recipes.grown_index(spark, sf).version()["totals"]
+    return spark.createDataFrame([(totals["docs"], totals["body"])], "docs long, words long")
 
 
 def _segments(spark, sf) -> tuple[DataFrame, DataFrame]:

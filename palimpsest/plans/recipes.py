@@ -6,10 +6,13 @@ rn - rn div 4; its parent is the one two before where rn mod 4 is 0 or 1, else t
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..operators.postings import LAYOUT, SegmentIndex
+from ..session import checkpoint_dir, fingerprint, table
 
 
 def revs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,3 +45,28 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").select(
         "doc_id", path.alias("path"), F.lit("plain").alias("type"), F.lit(False).alias("deleted"), (F.coalesce("toxic", F.lit(0)) == 1).alias("soft_deleted"), F.col("n_chars").cast("double").alias("size"), (F.col("doc_id") * 1000).cast("double").alias("mtime"), "text"
     )
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as notes to be indexed: the whole text, and its first line as a title."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("path"), F.md5("text").alias("hash"), F.col("text").alias("body"), F.substring_index("text", "\n", 1).alias("title"))
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> SegmentIndex:
+    """The index of ``notes`` in the shared folder, made when it is first asked for and again when the table's files change."""
+    name = fingerprint(table(spark, sf_dir, "documents"))
+    index = SegmentIndex(spark, f"{checkpoint_dir(spark)}/index-{LAYOUT}-{name}", ("body", "title"), "bigint")
+    if index.version()["number"] == 0:
+        index.append(notes(spark, sf_dir), name)
+    return index
+
+
+def grown_index(spark: SparkSession, sf_dir: str) -> SegmentIndex:
+    """An index of its own that grew by steps: old versions of every fourth note, all notes, then every tenth deleted."""
+    index = SegmentIndex(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", ("body",), "bigint")
+    new = notes(spark, sf_dir).select("path", "hash", "body")
+    index.append(new.where("path % 4 = 0").select("path", F.lit("old").alias("hash"), F.concat("body", F.lit(" outdated")).alias("body")), "1")
+    index.append(new, "2")
+    index.append(new.where("path % 10 = 0").withColumn("hash", F.lit(None).cast("string")), "3")
+    return index

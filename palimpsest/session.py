@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 
@@ -63,3 +64,16 @@ def numbered(rows: DataFrame, name: str, *by: str, first: int = 0) -> DataFrame:
     before = F.broadcast(dealt.sparkSession.createDataFrame(starts, "_range int, _start long"))
     place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
     return dealt.withColumn(name, place).join(before, "_range").withColumn(name, F.col(name) + F.col("_start") - 1).drop("_range", "_start")
+
+
+def fingerprint(df: DataFrame) -> str:
+    """Names the files that a table is read from, with their sizes and times, so that what is derived from them can be kept
+    until they change."""
+    spark = df.sparkSession
+    path, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = hashlib.sha1()
+    for name in sorted(df.inputFiles()):
+        at = path(name)
+        status = at.getFileSystem(conf).getFileStatus(at)
+        seen.update(f"{name} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return seen.hexdigest()
