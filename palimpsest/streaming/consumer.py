@@ -1,12 +1,12 @@
 """Keeping derived tables up to date from a stream of changes.
 
 ``foreachBatch`` hands each micro-batch to a function that recomputes what its documents touch and lays it over the table.
-Writes are idempotent: a version of the table is a folder named after the batch, and a pointer file that is replaced last
-names the current one, so a batch that runs twice ends the same.
+Writes are idempotent: a version of the table tells the batch that made it, so a batch that runs twice ends the same.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,36 +14,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.content import missing_children, reassemble
+from ..operators.fulltext import overlay
+from ..operators.heads import Heads
+
+#: Deltas over a table before it is written anew.
+DELTAS = 16
 
 
 class VersionedTable:
-    """A Parquet table that is replaced as a whole; readers see the version that the pointer names."""
+    """A Parquet table in parts: rows are written once, and a numbered version names the parts that are the table.
+
+    A version has a base and deltas over it, the oldest first; rows of a delta take the place of those before it with the
+    same keys, or their place stays empty where they are marked ``gone``.  A batch writes its own rows only; when there are
+    more than ``DELTAS`` deltas the next one writes the table anew.  Of two writers that follow one version one learns that
+    its head is stale."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.heads = Heads(spark, f"{self.root}/versions")
 
-    def current(self) -> str | None:
-        pointer = self._path(f"{self.root}/_current")
-        if not self._fs.exists(pointer):
-            return None
-        stream = self._fs.open(pointer)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+    def version(self) -> dict:
+        n = self.heads.head()
+        return (self.heads.read(n) if n else {"batch": None, "base": None, "deltas": [], "keys": []}) | {"number": n}
 
-    def read(self) -> DataFrame | None:
-        name = self.current()
-        return None if name is None else self.spark.read.parquet(f"{self.root}/{name}")
+    def current(self) -> str | None:
+        """The batch that made the current version."""
+        return self.version()["batch"]
 
-    def publish(self, rows: DataFrame, version: str) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/{version}")
-        out = self._fs.create(self._path(f"{self.root}/_current"), True)
-        out.write(bytearray(version.encode()))
-        out.close()
+    def read(self, version: dict | None = None) -> DataFrame | None:
+        now = version or self.version()
+        if now["base"] is None:
+            return None
+        out = self.spark.read.parquet(f"{self.root}/{now['base']}")
+        for name in now["deltas"]:
+            out = overlay(out, self.spark.read.parquet(f"{self.root}/{name}"), now["keys"])
+        return out
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"part-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{name}")
+        return name
+
+    def publish(self, rows: DataFrame, batch: str) -> None:
+        """``rows`` as the whole table."""
+        now = self.version()
+        self.heads.put(now["number"], {"batch": batch, "base": self._write(rows), "deltas": [], "keys": []})
+
+    def lay_over(self, delta: DataFrame, keys: list[str], batch: str) -> None:
+        """Rows (keys, ..., gone) over the table; a batch that made the current version is not taken again."""
+        now = self.version()
+        if now["batch"] == batch:
+            return
+        if now["base"] is None:
+            entry = {"base": self._write(delta.where(~F.col("gone")).drop("gone")), "deltas": []}
+        elif len(now["deltas"]) >= DELTAS:
+            entry = {"base": self._write(overlay(self.read(now), delta, keys)), "deltas": []}
+        else:
+            entry = {"base": now["base"], "deltas": [*now["deltas"], self._write(delta)]}
+        self.heads.put(now["number"], entry | {"batch": batch, "keys": keys})
 
 
 def upsert_batch(table: VersionedTable, keys: list[str], derive: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -51,13 +79,8 @@ def upsert_batch(table: VersionedTable, keys: list[str], derive: Callable[[DataF
     marked ``gone`` leave it."""
 
     def run(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        new = derive(batch)
-        old = table.read()
-        live = new.where(~F.col("gone")).drop("gone")
-        merged = live if old is None else old.join(new.select(*keys), keys, "left_anti").unionByName(live)
-        table.publish(merged, f"v{number:012d}")
+        if not batch.isEmpty():
+            table.lay_over(derive(batch), keys, f"v{number:012d}")
 
     return run
 

@@ -147,3 +147,32 @@ def test_public_documents(spark):
     rows = spark.createDataFrame([("a", "1-x", False, '{"_id":"b","_rev":"0-y","_conflicts":[],"v":{"w":[1,null]}}', ["1-x"]), ("d", "2-z", True, "{}", ["2-z", "1-q"])], "id string, rev string, deleted boolean, body string, history array<string>")
     got = {r.id: json.loads(r.doc) for r in revisions.public_doc(rows, history=True).collect()}
     assert got == {"a": {"_id": "a", "_rev": "1-x", "_revisions": {"start": 1, "ids": ["x"]}, "v": {"w": [1, None]}}, "d": {"_id": "d", "_rev": "2-z", "_deleted": True, "_revisions": {"start": 2, "ids": ["z", "q"]}}}
+
+
+def test_feed_in_many_tasks(spark, tmp_path):
+    change_source.register(spark)
+    rows = spark.range(1, 1001).selectExpr("id as seq", "cast(id as string) as id", "'1-a' as rev", "false as deleted")
+    rows.repartition(3).write.parquet(f"{tmp_path}/feed")
+    feed = spark.read.format("changefeed").option("path", f"file://{tmp_path}/feed").option("rowsPerTask", 100)
+    assert feed.load().rdd.getNumPartitions() == 10 and feed.load().selectExpr("count(*)", "sum(seq)").first()[:] == (1000, 500500)
+    assert feed.option("startingSeq", "now").load().count() == 0
+    assert feed.option("startingSeq", 950).load().count() == 50
+
+
+def test_versions_of_a_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(consumer, "DELTAS", 2)
+    table = consumer.VersionedTable(spark, f"file://{tmp_path}/table")
+    run = consumer.upsert_batch(table, ["k"], lambda b: b)
+    state = {}
+    for n in range(6):
+        rows = [(k, n, (k + n) % 5 == 0) for k in range(n, n + 4)]
+        for _ in range(2):
+            run(spark.createDataFrame(rows, "k int, v int, gone boolean"), n)
+        state.update({k: v for k, v, _ in rows})
+        for k, _, gone in rows:
+            if gone:
+                state.pop(k)
+        assert {r.k: r.v for r in table.read().collect()} == state
+    assert table.version()["number"] == 6
+    with pytest.raises(log.StaleHead):
+        table.heads.put(5, {})
