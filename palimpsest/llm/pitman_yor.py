@@ -4,13 +4,15 @@ Restaurants in three levels: one for each class of the word before (``CLASSES``
 and some bits of its hash), which share parents by that ending (``CLASSES >> LOW`` of them), which share the unigram
 restaurant; below it stands the uniform distribution over the known words and one unknown word.  Customers are seated by a
 blocked Gibbs sampler: a sweep seats the customers of one dish in one restaurant anew, one after another as the Chinese
-restaurant process has it, given all the others; a table opened is a customer of the parent.  Probabilities are averaged
-over the last ``KEPT`` of ``SWEEPS`` sweeps.
+restaurant process has it, given all the others; a table opened is a customer of the parent.  Where ``FINE`` times so many
+sit already, a step seats more than one: the tables that they open are drawn together, at the chance of the one in their
+middle, which is within 1 / ``FINE``² of their mean.  Probabilities are averaged over the last ``KEPT`` of ``SWEEPS`` sweeps.
 
 Layout.  Everything about a word is in one bucket, chosen by the word's hash, so seating needs no exchange but the totals of
 each restaurant: arrays of a fixed size that the driver sums after a sweep and sends back.  Tables of words and counts never
 leave their buckets.  Tokens are sent once to the bucket of their word to be scored, as arrays of a few bytes a token; what
-comes back is one partial sum per document and bucket.  Bursts of random numbers are seeded by bucket and sweep, so a task
+comes back is one partial sum per document and bucket.  A bucket of very frequent words has as many copies as its tokens
+need to be about as many as another's; each copy seats the same tables and scores a share of the tokens.  Bursts of random numbers are seeded by bucket and sweep, so a task
 that is run again after a lost executor gives the same seating.
 
 Words are A-Z lower-cased runs of anything but ASCII white space, named by 64 bits of hash.  Defined results: a null or
@@ -38,11 +40,14 @@ SWEEPS, KEPT = 3, 2
 #: Strengths of the restaurants of a class, of an ending and of the unigram.  Discounts are set from the data.
 STRENGTH = (1.0, 1.0, 1.0)
 
-#: Customers of a dish that are seated one by one; tables that later ones open are drawn at once.
-ONE_BY_ONE = 48
+#: Customers for each one that a step may seat at once.
+FINE = 64
 
 #: Characters of text for each bucket, tokens of a batch that a task sends at once.
-BUCKET_CHARS, BATCH = 20_000_000, 400_000
+BUCKET_CHARS, BATCH = 20_000_000, 800_000
+
+#: Arrays of totals that one task adds, and that the driver does.
+FAN_IN, FEW = 16, 8
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x100000001B3
 _END = np.uint64(0x1D8E4E27C47D124F)
@@ -172,7 +177,7 @@ def _count_rows(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
-    return rows.repartition(buckets, "r").sortWithinPartitions("r", "kind", "batch")
+    return rows.repartitionById(buckets, F.col("r")).sortWithinPartitions("r", "kind", "batch")
 
 
 def _state(rows: DataFrame, buckets: int) -> DataFrame:
@@ -323,22 +328,35 @@ def _seat(count: np.ndarray, weight: np.ndarray, discount: float, rng: np.random
     """Tables that ``count`` customers of each dish take; ``weight``: strength times the parent's probability of the dish."""
     tables = np.ones(len(count), np.int32)
     active = np.flatnonzero(count > 1)
-    for seated in range(1, ONE_BY_ONE):
-        if not len(active):
-            return tables
-        w = weight[active]
-        tables[active] += rng.random(len(active)) * (w + seated - discount * tables[active]) < w
-        active = active[count[active] > seated + 1]
-    if len(active):
+    seated = 1
+    while len(active):
+        step = max(1, seated // FINE)
+        many = np.minimum(step, count[active] - seated)
         w = weight[active]
-        more = w * np.log((w + count[active]) / (w + ONE_BY_ONE))
-        tables[active] = np.minimum(count[active], tables[active] + rng.poisson(more))
+        chance = w / (w + seated + (many - 1) / 2 - discount * tables[active])
+        tables[active] += (rng.random(len(active)) < chance) if step == 1 else rng.binomial(many, chance)
+        seated += step
+        active = active[count[active] > seated]
     return tables
 
 
-def _summed(state: DataFrame, history: list[Totals], discounts: tuple[float, ...]) -> Totals | None:
-    """Totals over all buckets after as many sweeps as ``history`` has; the sums are made in two steps."""
-    groups = max(1, int(state.rdd.getNumPartitions() ** 0.5))
+def _added(rows: DataFrame) -> DataFrame:
+    """The sums of the packed arrays of each r."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for r, blob in zip(batch.column(0).to_pylist(), batch.column(3), strict=True):
+                own = _unpack(blob.as_py())
+                sums[r] = own if r not in sums else [a + b for a, b in zip(sums[r], own, strict=True)]
+        for r, own in sums.items():
+            yield _row(r, 0, 0, _pack(*own))
+
+    return rows.mapInArrow(run, _SCHEMA)
+
+
+def _summed(state: DataFrame, buckets: int, history: list[Totals], discounts: tuple[float, ...]) -> Totals | None:
+    """Totals over all buckets after as many sweeps as ``history`` has, added up as a tree; ``FEW`` of its nodes reach the driver."""
     shared = state.sparkSession.sparkContext.broadcast([h.arrays for h in history])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,19 +366,13 @@ def _summed(state: DataFrame, history: list[Totals], discounts: tuple[float, ...
                 seating = Seating(blob.as_py(), r)
                 for i, t in enumerate(before):
                     seating.sweep(t, discounts, i)
-                yield _row(r % groups, 0, 0, _pack(*seating.totals().arrays))
+                yield _row(r, 0, 0, _pack(*seating.totals().arrays))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = None
-        for batch in batches:
-            for blob in batch.column(3):
-                own = _unpack(blob.as_py())
-                sums = own if sums is None else [a + b for a, b in zip(sums, own, strict=True)]
-        if sums is not None:
-            yield _row(0, 0, 0, _pack(*sums))
-
-    rows = state.mapInArrow(run, _SCHEMA).repartition(groups, "r").mapInArrow(add, _SCHEMA).select("blob").collect()
-    parts = [_unpack(bytes(r.blob)) for r in rows]
+    rows, n = state.mapInArrow(run, _SCHEMA), buckets
+    while n > FEW:
+        n = max(FEW, -(-n // FAN_IN))
+        rows = _added(rows.withColumn("r", F.col("r") % n).repartition(n, "r"))
+    parts = [_unpack(bytes(r.blob)) for r in rows.select("blob").collect()]
     return Totals(*(sum(x) for x in zip(*parts, strict=True))) if parts else None
 
 
@@ -369,15 +381,32 @@ def _nothing() -> Totals:
     return Totals(z, z, np.zeros(PARENTS, np.int64), np.zeros(PARENTS, np.int64), np.zeros(6, np.int64))
 
 
-def _token_rows(docs: DataFrame, buckets: int) -> DataFrame:
-    """Kind 1: a batch's tokens of one bucket.  Kind 2: the batch's documents, dealt over the buckets."""
+def _copies(state: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
+    """Of each bucket the number of its first copy and how many there are: one for each mean bucket's tokens that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [int(_unpack(blob.as_py())[3].sum(dtype=np.int64)) for blob in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["r", "n"])
+
+    sizes = [0] * buckets
+    for r in state.mapInArrow(run, "r int, n long").collect():
+        sizes[r["r"]] = r["n"]
+    mean = max(1, sum(sizes) // buckets)
+    many = [max(1, round(n / mean)) for n in sizes]
+    return [sum(many[:r]) for r in range(buckets)], many
+
+
+def _token_rows(docs: DataFrame, buckets: int, first: list[int], many: list[int]) -> DataFrame:
+    """Kind 1: a batch's tokens of one bucket, for one of its copies.  Kind 2: the batch's documents, dealt over all."""
+    places = sum(many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, (ids, held, word, name, doc) in enumerate(_batches(batches)):
             batch = (TaskContext.get().partitionId() << 32) | number
             n = np.bincount(doc, minlength=len(ids)).astype(np.uint32)
             missing = np.array([i is None for i in ids])
-            yield _row(batch % buckets, 2, batch, _pack(np.array([i or 0 for i in ids], np.int64), missing, np.array(held, bool), n))
+            yield _row(batch % places, 2, batch, _pack(np.array([i or 0 for i in ids], np.int64), missing, np.array(held, bool), n))
             order = np.argsort(word, kind="stable")
             word, name, doc = word[order], name[order], doc[order]
             edges = np.searchsorted(_bucket(word, buckets), np.arange(buckets + 1))
@@ -385,7 +414,8 @@ def _token_rows(docs: DataFrame, buckets: int) -> DataFrame:
                 a, b = edges[r], edges[r + 1]
                 if b > a:
                     starts = _runs(word[a:b])
-                    yield _row(r, 1, batch, _pack(word[a:b][starts], np.diff(np.append(starts, b - a)).astype(np.uint32), name[a:b], doc[a:b]))
+                    place = first[r] + (number + (batch >> 32)) % many[r]
+                    yield _row(place, 1, batch, _pack(word[a:b][starts], np.diff(np.append(starts, b - a)).astype(np.uint32), name[a:b], doc[a:b]))
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -398,14 +428,14 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
     chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("n")).first().n
     buckets = max(6, -(-int(chars) // BUCKET_CHARS))
     state = cut(_state(_count_rows(source, buckets), buckets))
-    start = _summed(state, [], (0.5, 0.5, 0.5)) or _nothing()
+    start = _summed(state, buckets, [], (0.5, 0.5, 0.5)) or _nothing()
     once, twice = (int(x) for x in start.scalars[4:6])
     # the usual estimate of the discount from what is seen once and twice
     d = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
     discounts = (d, d, d)
     history = [start]
     for _ in range(sweeps):
-        history.append(_summed(state, history, discounts) or start)
+        history.append(_summed(state, buckets, history, discounts) or start)
     train_tokens, known_words = int(start.scalars[3]), int(start.scalars[2])
     shared = docs.sparkSession.sparkContext.broadcast([h.arrays for h in history])
 
@@ -419,7 +449,8 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
                     continue
                 if r != now or kind == 0:  # a bucket's seating comes before its tokens, if it has one
                     now, samples = r, []
-                    seating = Seating(blob.as_py() if kind == 0 else _pack(np.zeros(0, np.uint64), *[np.zeros(0, np.uint32)] * 3), r)
+                    # a copy seats as its bucket does, whose number stands in the place of the batch's
+                    seating = Seating(blob.as_py() if kind == 0 else _pack(np.zeros(0, np.uint64), *[np.zeros(0, np.uint32)] * 3), batch if kind == 0 else r)
                     for i in range(sweeps):
                         seating.sweep(totals[i], discounts, i)
                         if i >= sweeps - kept:
@@ -467,7 +498,12 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
         if table is not None:
             yield close(table, parts)
 
-    scored = _by_bucket(state.unionByName(_token_rows(source, buckets)), buckets).mapInArrow(run, _SCHEMA)
+    first, many = _copies(state, buckets)
+    table = docs.sparkSession.createDataFrame(list(enumerate(zip(first, many, strict=True))), "r int, c struct<first:int,many:int>")
+    copies = state.join(F.broadcast(table), "r").select(F.explode(F.sequence(F.col("c.first"), F.col("c.first") + F.col("c.many") - 1)).alias("r"), "kind", F.col("r").cast("long").alias("batch"), "blob")
+    places = sum(many)
+    dealt = copies.unionByName(_token_rows(source, buckets, first, many)).repartitionById(places, F.col("r")).sortWithinPartitions("r", "kind", "batch")
+    scored = dealt.mapInArrow(run, _SCHEMA)
     return (
         scored.repartition("batch")
         .sortWithinPartitions("batch", "kind")
