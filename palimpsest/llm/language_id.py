@@ -39,8 +39,10 @@ SAMPLE, LANGUAGES, CHARS = 1500, 64, 24_000_000
 #: Lengths at which the bound of each language is calibrated, and pieces of each length that are taken from a document.
 BANDS, PIECES = (16, 64, 256, 1024, 4096), 4
 
-#: Texts of a known language that may be rejected, and the share of the calibration that tells of the tail.
-FALSE_REJECT, TAIL = 1e-4, 0.1
+#: Texts of a known language that may be rejected, the share of the calibration that tells of the tail, and how many standard
+#: errors the mean of so few exceedances is taken higher; and how much wider for one text, less for more, as pieces of one text
+#: are alike.
+FALSE_REJECT, TAIL, DOUBT, FEW_TEXTS = 1e-4, 0.1, 1.0, 3.0
 
 #: Least mean exceedance that is taken for the tail's, in nats per character at one character; it falls with the root of the
 #: length.  Few pieces may happen to lie close together.
@@ -301,11 +303,11 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models | None:
     held = chosen.where(F.col("_r") % 5 == 0)
     size = F.length("text")
     cuts = [F.when(size >= n * (k + 1) if k else size > n // 2, F.struct(F.lit(band).alias("band"), F.substring("text", n * k + 1, n).alias("piece"))) for band, n in enumerate(BANDS) for k in range(PIECES)]
-    pieces = held.select("lang", F.explode(F.array_compact(F.array(*cuts))).alias("p")).select("lang", "p.band", "p.piece")
-    judged = predict_frame(pieces, models, ["lang", "band"], "piece").where(F.col("lang") == F.col("lang_pred"))
+    pieces = held.select("lang", "_r", F.explode(F.array_compact(F.array(*cuts))).alias("p")).select("lang", "_r", "p.band", "p.piece")
+    judged = predict_frame(pieces, models, ["lang", "band", "_r"], "piece").where(F.col("lang") == F.col("lang_pred"))
     # the sample bounds these: PIECES numbers for each band of each text that was kept back
-    rows = judged.groupBy("lang", "band").agg(F.sort_array(F.collect_list("entropy")).alias("e")).collect()
-    known = {(r["band"], r["lang"]): _tail(np.array(r["e"]), BANDS[r["band"]]) for r in rows}
+    rows = judged.groupBy("lang", "band").agg(F.sort_array(F.collect_list("entropy")).alias("e"), F.count_distinct("_r").alias("texts")).collect()
+    known = {(r["band"], r["lang"]): _tail(np.array(r["e"]), BANDS[r["band"]], r["texts"]) for r in rows}
     for band in range(len(BANDS)):
         own = [v for (b, _), v in known.items() if b == band]
         for i, x in enumerate(languages):
@@ -315,11 +317,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models | None:
     return models
 
 
-def _tail(entropies: np.ndarray, length: int) -> tuple[float, float]:
-    """The mean of sorted cross-entropies of pieces of one length, and the value that a share of ``FALSE_REJECT`` exceeds."""
+def _tail(entropies: np.ndarray, length: int, texts: int) -> tuple[float, float]:
+    """The mean of sorted cross-entropies of pieces of one length, from so many texts, and the value that a share of ``FALSE_REJECT`` exceeds."""
     top = max(1, int(len(entropies) * TAIL))
     edge = entropies[-top - 1] if len(entropies) > top else entropies[0]
     excess = max(float((entropies[-top:] - edge).mean()), LEAST_EXCESS / math.sqrt(length))
+    excess *= 1 + DOUBT / math.sqrt(top) + FEW_TEXTS / max(texts, 1)
     return float(entropies.mean()), float(edge + excess * math.log(TAIL / FALSE_REJECT))
 
 
