@@ -55,7 +55,7 @@ WINDOW, MAIN_PART = 64, 2 / 3
 SHARP = 10.0
 
 #: Characters that are scored at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 UNKNOWN = "und"
 
