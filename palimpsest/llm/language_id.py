@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 ORDER, DISCOUNT = 4, 0.75
 
@@ -213,7 +213,7 @@ def _count(sample: DataFrame) -> list:
                     gram, n = np.unique(_grams(code, begin, ORDER), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    return sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
+    return sample.select("lang", "text").mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
 
 
 def _kneser_ney(counts: dict[str, tuple[np.ndarray, np.ndarray]], languages: list[str]) -> Models:
@@ -357,7 +357,7 @@ def predict_frame(docs: DataFrame, models: Models | None, keep: Sequence[str], t
                         [*cols, pa.array(lang, pa.string()), pa.array(score), pa.array(best), pa.array(bad)], [*(f"k{k}" for k in range(len(keep))), "lang_pred", "score", "entropy", "rejected"]
                     )
 
-    return source.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "entropy", "rejected")
+    return source.mapInArrow(lean(run), schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "entropy", "rejected")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 # What a text of so many words, or of so large a repeated part, fails by (the contract's base rules).
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
@@ -144,6 +146,6 @@ def line_quality(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
                 cols = [part.column(i) for i in range(part.num_columns - 1)] + [pa.array(c, a) for c, a in zip(found, arrow, strict=False)]
                 yield pa.RecordBatch.from_arrays(cols, [*(f"k{i}" for i in range(len(cols) - n_out)), *names[:n_out]])
 
-    judged = source.mapInArrow(run, schema)
+    judged = source.mapInArrow(lean(run), schema)
     verdict = ~F.col("base_failed") & (F.col("left_words") * 100 >= F.col("n_words") * LEAST_LEFT)
     return judged.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *names[:n_out], verdict.alias("kept"))

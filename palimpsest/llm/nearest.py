@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, lean, small_side
 from .hilbert import hilbert_index
 
 K, CURVES, DIMS, BITS, SEED = 20, 8, 6, 10, 20240501
@@ -107,7 +107,7 @@ def _ranks(classes: DataFrame, curves: Curves) -> DataFrame:
             for c in range(CURVES):
                 yield pa.RecordBatch.from_arrays([cls, pa.array(np.full(len(cls), c, np.int32)), pa.array(keys[c])], ["cls", "curve", "key"])
 
-    keyed = classes.select("cls", "v").mapInArrow(run, "cls long, curve int, key long").withColumn("tie", F.xxhash64("cls"))
+    keyed = classes.select("cls", "v").mapInArrow(lean(run), "cls long, curve int, key long").withColumn("tie", F.xxhash64("cls"))
     placed = keyed.repartitionByRange("curve", "key", "tie").sortWithinPartitions("curve", "key", "tie")
     placed = cut(placed.select("cls", "curve", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("at")))
     parts = placed.groupBy("curve", "pid").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -158,7 +158,7 @@ def _exact(classes: DataFrame, queries: np.ndarray, names: np.ndarray, k: int) -
         q = np.repeat(ids, best.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(who.ravel()), pa.array(best.ravel())], ["q", "cls", "score"])
 
-    found = classes.select("cls", "v").mapInArrow(run, "q long, cls long, score double")
+    found = classes.select("cls", "v").mapInArrow(lean(run), "q long, cls long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
@@ -252,7 +252,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
         if best is not None:
             yield out(who, best, found)
 
-    hits = both.mapInArrow(run, "q long, cls long, score double").groupBy("q", "cls").agg(F.max("score").alias("score"))
+    hits = both.mapInArrow(lean(run), "q long, cls long, score double").groupBy("q", "cls").agg(F.max("score").alias("score"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "cls")
     hits = cut(hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r"))
     hits = _rescored(hits, classes).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r")

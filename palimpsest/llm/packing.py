@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, lean, small_side
 
 CAPACITY = 2048
 
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
                 cols = [part.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(c, pa.int64()) for c in (start, length, crc))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return source.mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 Bins = tuple[int, list[tuple[int, int]]]  # so many sequences, each of runs (length, how often)
@@ -295,4 +295,4 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             sequence, offset = run[:, 3] + within // run[:, 2], run[:, 4] + within % run[:, 2] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 CLASSES, LOW = 1 << 18, 8
 PARENTS = CLASSES >> LOW
@@ -173,7 +173,7 @@ def _count_rows(docs: DataFrame, buckets: int) -> DataFrame:
                     starts = _runs(word[a:b])
                     yield _row(r, 0, 0, _pack(word[a:b][starts], np.diff(np.append(starts, b - a)).astype(np.uint32), name[a:b], count[a:b]))
 
-    return docs.where(~F.col("held")).mapInArrow(run, _SCHEMA)
+    return docs.where(~F.col("held")).mapInArrow(lean(run), _SCHEMA)
 
 
 def _by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
@@ -208,7 +208,7 @@ def _state(rows: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield close(now, parts)
 
-    return _by_bucket(rows, buckets).mapInArrow(run, _SCHEMA)
+    return _by_bucket(rows, buckets).mapInArrow(lean(run), _SCHEMA)
 
 
 class Totals:
@@ -352,7 +352,7 @@ def _added(rows: DataFrame) -> DataFrame:
         for r, own in sums.items():
             yield _row(r, 0, 0, _pack(*own))
 
-    return rows.mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(lean(run), _SCHEMA)
 
 
 def _summed(state: DataFrame, buckets: int, history: list[Totals], discounts: tuple[float, ...]) -> Totals | None:
@@ -368,7 +368,7 @@ def _summed(state: DataFrame, buckets: int, history: list[Totals], discounts: tu
                     seating.sweep(t, discounts, i)
                 yield _row(r, 0, 0, _pack(*seating.totals().arrays))
 
-    rows, n = state.mapInArrow(run, _SCHEMA), buckets
+    rows, n = state.mapInArrow(lean(run), _SCHEMA), buckets
     while n > FEW:
         n = max(FEW, -(-n // FAN_IN))
         rows = _added(rows.withColumn("r", F.col("r") % n).repartition(n, "r"))
@@ -390,7 +390,7 @@ def _copies(state: DataFrame, buckets: int) -> tuple[list[int], list[int]]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["r", "n"])
 
     sizes = [0] * buckets
-    for r in state.mapInArrow(run, "r int, n long").collect():
+    for r in state.mapInArrow(lean(run), "r int, n long").collect():
         sizes[r["r"]] = r["n"]
     mean = max(1, sum(sizes) // buckets)
     many = [max(1, round(n / mean)) for n in sizes]
@@ -417,7 +417,7 @@ def _token_rows(docs: DataFrame, buckets: int, first: list[int], many: list[int]
                     place = first[r] + (number + (batch >> 32)) % many[r]
                     yield _row(place, 1, batch, _pack(word[a:b][starts], np.diff(np.append(starts, b - a)).astype(np.uint32), name[a:b], doc[a:b]))
 
-    return docs.mapInArrow(run, _SCHEMA)
+    return docs.mapInArrow(lean(run), _SCHEMA)
 
 
 def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, kept: int = KEPT) -> DataFrame:
@@ -503,9 +503,9 @@ def score(docs: DataFrame, held: Column | None = None, doc_id: str = "doc_id", t
     copies = state.join(F.broadcast(table), "r").select(F.explode(F.sequence(F.col("c.first"), F.col("c.first") + F.col("c.many") - 1)).alias("r"), "kind", F.col("r").cast("long").alias("batch"), "blob")
     places = sum(many)
     dealt = copies.unionByName(_token_rows(source, buckets, first, many)).repartitionById(places, F.col("r")).sortWithinPartitions("r", "kind", "batch")
-    scored = dealt.mapInArrow(run, _SCHEMA)
+    scored = dealt.mapInArrow(lean(run), _SCHEMA)
     return (
         scored.repartition("batch")
         .sortWithinPartitions("batch", "kind")
-        .mapInArrow(combine, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+        .mapInArrow(lean(combine), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     )

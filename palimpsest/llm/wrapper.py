@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions, small_side
+from .common import cut, lean, shuffle_partitions, small_side
 from .url_filter import split_url
 
 #: A constant text is template if it stands on so many different pages of the host, and on one in so many of those that have
@@ -502,7 +502,7 @@ def _folded(pages: DataFrame) -> DataFrame:
                 data = [part.column(0).take(pa.array(keep, pa.int64())), pa.array([_hash(texts[i]) for i in keep], pa.string()), pa.array([json.dumps(fold(parse(texts[i])), separators=(",", ":")) for i in keep], pa.string())]
                 yield pa.RecordBatch.from_arrays(data, ["host", "page", "wrapper"])
 
-    return pages.mapInArrow(run, "host string, page string, wrapper string")
+    return pages.mapInArrow(lean(run), "host string, page string, wrapper string")
 
 
 def _merged(wrappers: DataFrame) -> DataFrame:
@@ -528,7 +528,7 @@ def _merged(wrappers: DataFrame) -> DataFrame:
             yield row(now, out)
 
     dealt = wrappers.repartition(shuffle_partitions(wrappers.sparkSession), "host", "group").sortWithinPartitions("host", "group", "page")
-    return dealt.select("host", "group", "page", "wrapper").mapInArrow(run, "host string, group long, wrapper string")
+    return dealt.select("host", "group", "page", "wrapper").mapInArrow(lean(run), "host string, group long, wrapper string")
 
 
 def induce(pages: DataFrame) -> DataFrame:
@@ -548,7 +548,7 @@ def induce(pages: DataFrame) -> DataFrame:
             done = [(h, json.dumps(w, separators=(",", ":"))) for h, w in done if w is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.string()) for k in (0, 1)], ["host", "wrapper"])
 
-    return cut(level.select("host", "wrapper").mapInArrow(run, "host string, wrapper string"))
+    return cut(level.select("host", "wrapper").mapInArrow(lean(run), "host string, wrapper string"))
 
 
 def main_text(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), url: str = "url", html: str = "html") -> DataFrame:
@@ -578,5 +578,5 @@ def main_text(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"), url: s
                     texts.append(extract(parse(text), known[host]) if text else "")
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
-    out = joined.select(*names, "host", "wrapper", "html").mapInArrow(run, schema)
+    out = joined.select(*names, "host", "wrapper", "html").mapInArrow(lean(run), schema)
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "text", "n_chars")
