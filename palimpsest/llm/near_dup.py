@@ -8,22 +8,23 @@ same set are one class; what follows works on classes only, so exact copies neve
   other.  A larger one is read as deep as its classes differ: they are sorted by the order's further values, and a class's
   candidates are those around it, the longest common prefixes: half a ``REGION`` on either side at least, which holds every
   class of any deeper region of that size.
-* Dense regions: where more than a ``REGION`` of classes are alike, by a template they share, say, most of a signature tells
-  nothing of a single pair.  There the forest goes on over what is left without the shingles that more than ``REGION`` of
-  the classes in such regions have: a class is also a candidate of those that it shares one of the others with, of which it
-  has up to ``RESIDUE``, the lowest by hash.  A pair with so few each is missed only if all it shares is common; then each
-  is as similar to the many others that share that, and sorted beside some of them.
 * Round 1: each class takes its most similar earlier candidate, one pair for each class.  Pairs are confirmed on the full
   sets and followed to their roots.
 * Round 2: classes that still have a candidate under another root bring their whole sets, as 32-bit hashes, to the buckets
   they share with it, where all those pairs are compared at once; what is similar there, or as near to it as shorter hashes
   can tell, is confirmed on the full sets, and the links between roots give the components.  A set travels to the buckets
   of its class, of which there is a fixed number, not to each of its candidates.
-
-Only pairs whose signatures agree in four deviations less than the threshold are confirmed.  With 20 orders of depth 4 a
-pair at a similarity of 0.85 is missed by the orders with a probability of 4e-7, at 0.8 of 3e-5, outside of dense regions.
-Within, tests compare with brute force: all of 200 pairs at 0.86 are found among 5,200 documents that are at 0.80 to each
-other.
+* Round 3: a region of more than a ``REGION`` whose classes are not all tied by now is left with pairs that its windows did
+  not show.  The classes of such regions are joined exactly, by prefixes: their shingles are put in one order, rare ones
+  first, and two similar sets share one of those that each has first, however many have it too (``_prefixes``).  Classes
+  with such a shingle in common are all compared, on their full sets.  Where that is less work, all classes that chains of
+  such shingles tie are compared instead (``_groups``), and of up to ``WHOLE`` classes all are.  What is too large for one task is cut into blocks, and every two
+  blocks that have similar sizes meet in one (``_tiles``): nothing is left out, at a work that grows with the square of the
+  number of classes where they have no rare shingles to tell them apart.
+
+Only pairs whose signatures agree in four deviations less than the threshold are confirmed, in round 3 six.  With 20 orders
+of depth 4 a pair at a similarity of 0.85 is missed by the orders with a probability of 4e-7, at 0.8 of 3e-5; in dense
+regions too, as every pair that meets in one is either compared or tied by others.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; a null doc_id is linked with nothing,
 has a null component and stays; repeated rows are of one class, and each has its row in the result; an empty table gives an
@@ -36,18 +37,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import numbered
-from .common import cut, lean, small_side
+from .common import cut, lean, shuffle_partitions, small_side
 
 WORDS, PERCENT = 5, 85
 SLOTS, TREES, DEPTH, STEP = 128, 20, 4, 6
 REGION = 96
 
-#: Values of an order that sort a dense region, and shingles of a class that are looked up there.
-SORTED, RESIDUE = 64, 128
+#: Values of an order that sort a dense region.
+SORTED = 64
+
+#: Classes that round 3 compares all with each other, with no prefixes, and slots of shingles that it ranks for more.
+WHOLE, SKETCH = 4096, 1 << 20
+
+#: Classes of a block in round 3, and shingles of all its sets (at least one class).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 
 #: Short hashes of one pair that may coincide by chance without a link being lost.
 SLACK = 3
@@ -171,20 +178,8 @@ def _sorted_windows(dense: DataFrame) -> DataFrame:
     return placed.select("cid", F.explode(F.array(F.xxhash64("key", block), F.xxhash64("key", block + 1))).alias("bucket"))
 
 
-def _residue(dense: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cid, bucket) of the classes (cid) of dense regions by the shingles that few of them have."""
-    rows = cut(_sets(dense, members, docs, listed=True)).select("cid", F.explode("hashes").alias("h"))
-    counts = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    common = small_side(counts.where(F.col("n") > REGION).select("h"), 1_000_000)
-    few = counts.where(F.col("n") <= REGION).select("h")
-    # common shingles leave before anything is shuffled by shingle
-    shared = rows.join(common, "h", "left_anti").join(few, "h")
-    lowest = F.row_number().over(Window.partitionBy("cid").orderBy("h"))
-    return shared.withColumn("r", lowest).where(F.col("r") <= RESIDUE).select("cid", F.xxhash64(F.lit("residue"), "h").alias("bucket"))
-
-
-def _buckets(classes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(cid, sig, bucket) of the classes that share a bucket with another one."""
+def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(cid, sig, bucket) of the classes that share a bucket with another one, and (cid, key) of those in dense regions."""
     spread = classes.select("cid", F.posexplode("keys").alias("tree", "key"))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     # classes that no order puts beside another one leave here, before signatures travel
@@ -193,9 +188,121 @@ def _buckets(classes: DataFrame, members: DataFrame, docs: DataFrame) -> DataFra
     small = met.where(F.col("n") <= REGION).select("cid", F.col("key").alias("bucket"))
     large = met.where(F.col("n") > REGION)
     if large.isEmpty():
-        return small.join(sigs, "cid")
+        return small.join(sigs, "cid"), None
     dense = _sorted_windows(large.join(sigs, "cid"))
-    return small.unionByName(dense).unionByName(_residue(large.select("cid"), members, docs)).join(sigs, "cid")
+    return small.unionByName(dense).join(sigs, "cid"), large.select("cid", "key")
+
+
+def _unsettled(large: DataFrame, tops: DataFrame) -> DataFrame:
+    """(cid) of the classes in those dense regions, (cid, key), that are not all under one top, (cid, top)."""
+    rows = cut(large.join(tops.select("cid", "top"), "cid"))
+    mixed = cut(rows.groupBy("key").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo <> hi").select("key"))
+    return cut(rows.join(small_side(mixed), "key").select("cid").distinct())
+
+
+def _ranks(sets: DataFrame) -> np.ndarray:
+    """Ranks of ``SKETCH`` slots of shingles, by how many shingles of (cid, hashes) fall into each: 0 where it is one, then the
+    rare ones; slots that the same classes have share a rank.  The driver sees one row per slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, who = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.uint64)
+        for batch in batches:
+            for cid, data in zip(batch.column(0), batch.column(1), strict=True):
+                slot = np.frombuffer(data.as_buffer(), np.uint64) & np.uint64(SKETCH - 1)
+                np.add.at(n, slot, 1)
+                np.bitwise_xor.at(who, slot, np.frombuffer(cid.as_buffer(), np.uint64)[0])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(who[at].view(np.int64))], ["slot", "n", "who"])
+
+    parts = sets.select("cid", "hashes").mapInArrow(lean(run), "slot long, n long, who long")
+    found = parts.groupBy("slot").agg(F.sum("n").alias("n"), F.bit_xor("who").alias("who")).where("n > 1").toArrow()
+    slot, n, who = (found.column(k).to_numpy() for k in ("slot", "n", "who"))
+    by = np.lexsort((who, n))
+    new = np.ones(len(by), bool)
+    new[1:] = (n[by][1:] != n[by][:-1]) | (who[by][1:] != who[by][:-1])
+    ranks = np.zeros(SKETCH, np.int32)
+    ranks[slot[by]] = np.cumsum(new)
+    return ranks
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, size, bucket, n) of (cid, hashes), one row a class: two classes that are similar enough share a bucket; n classes
+    have it.
+
+    All shingles are put in one order, by the ranks of their slots.  The first shingle that two sets share in it has all
+    others that they share behind it in both, so at least as many as they must share.  That bounds its place in each, and
+    what sizes it can be of use with.  This holds in any order; with rare shingles first, few classes meet."""
+    ranks = _ranks(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cids, sizes, places, buckets = [], [], [], []
+            for cid, data in zip(batch.column(0), batch.column(1), strict=True):
+                h = np.frombuffer(data.as_buffer(), np.uint64)
+                rank = ranks[h & np.uint64(SKETCH - 1)]
+                first = rank[np.lexsort((h, rank))[: len(h) + 1 + -percent * len(h) // 100]]
+                bucket, place = np.unique(first, return_index=True)
+                # shingles that no other class has come first of all
+                bucket, place = bucket[bucket > 0], place[bucket > 0]
+                cids += [cid.as_py()] * len(bucket)
+                sizes += [len(h)] * len(bucket)
+                places.append(place)
+                buckets.append(bucket)
+            if cids:
+                columns = [pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.concatenate(x).astype(np.int64)) for x in (places, buckets))]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "size", "place", "bucket"])
+
+    first = cut(sets.select("cid", "hashes").mapInArrow(lean(run), "cid binary, size long, place long, bucket long"))
+    span = small_side(cut(first.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi")).where("n > 1")), 1_000_000)
+    fits = ((100 + percent) * (F.col("size") - F.col("place")) >= percent * (F.col("size") + F.col("lo"))) & (percent * F.col("size") <= 100 * F.col("hi"))
+    kept = cut(first.join(span.drop("n"), "bucket").where(fits).select("cid", "size", "bucket"))
+    sizes = small_side(cut(kept.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), 1_000_000)
+    return cut(kept.join(sizes, "bucket").select("cid", "size", "bucket", "n"))
+
+
+def _groups(prefixes: DataFrame) -> DataFrame:
+    """(cid, size, group) of the classes to compare with each other: those of a bucket, or those that buckets tie in chains
+    where these have fewer pairs than their buckets.  A trip of a set to a bucket counts as a ``REGION`` of pairs."""
+    hubs = prefixes.groupBy("bucket").agg(F.min("cid").alias("b"))
+    tied = components(prefixes.select(F.col("cid").alias("a"), "bucket").join(hubs, "bucket").select("a", "b"))
+    rows = cut(prefixes.join(tied.withColumnRenamed("a", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    # chains are weighed from their classes' sums: no task counts one chain's classes
+    each = rows.groupBy("root", "cid").agg(F.sum(F.col("n") + REGION).alias("work"))
+    work = each.groupBy("root").agg(F.sum("work").alias("work"), F.count(F.lit(1)).cast("double").alias("n"))
+    whole = small_side(cut(work.where(F.col("n") * F.col("n") <= F.col("work")).select("root", F.lit(True).alias("whole"))))
+    group = F.when(F.col("whole"), F.xxhash64(F.lit("whole"), "root")).otherwise(F.col("bucket"))
+    return cut(rows.join(whole, "root", "left").select("cid", "size", group.alias("group")).distinct())
+
+
+def _tiles(groups: DataFrame, percent: int) -> DataFrame:
+    """(cid, bucket): every two classes of a group whose sizes allow it share a bucket of two blocks at most.
+
+    Classes of like sizes are dealt into blocks, and each block meets the others of its sizes and those of the next."""
+    total = small_side(cut(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))), 1_000_000)
+    rows = groups.join(total, "group")
+    one = (F.col("n") <= REGION) | ((F.col("n") <= BLOCK) & (F.col("weight") <= BLOCK_SHINGLES))
+    small = rows.where(one).select("cid", F.col("group").alias("bucket"))
+    # similar sizes are at most one step apart; a little more than the ratio, for rounding
+    step = F.floor(F.log(F.col("size").cast("double")) / (np.log(100 / percent) + 1e-3))
+    large = rows.where(~one).select("cid", "size", "group", step.alias("step"))
+    needed = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES))
+    blocks = large.groupBy("group", "step").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight")).select("group", "step", needed.alias("blocks"))
+    # a step is seen by itself and by those on either side
+    sides = {-1: "above", 0: "blocks", 1: "below"}
+    seen = F.explode(F.array(*(F.struct((F.col("step") + d).alias("step"), F.lit(d).alias("side"), "blocks") for d in sides)))
+    around = blocks.select("group", seen.alias("e")).select("group", "e.*").groupBy("group", "step")
+    around = around.agg(*(F.coalesce(F.max(F.when(F.col("side") == d, F.col("blocks"))), F.lit(0)).alias(name) for d, name in sides.items()))
+    dealt = large.join(around, ["group", "step"]).withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+
+    def meets(many, tile):
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.col(many)), lambda k: F.when(k < F.col(many), tile(k)))
+
+    # a block alone with its sizes meets itself; among several, any of its tiles has all its pairs
+    same = meets("blocks", lambda k: F.when((F.col("blocks") == 1) | (k != F.col("at")), F.xxhash64("group", "step", F.lit("same"), F.least("at", k), F.greatest("at", k))))
+    below = meets("below", lambda k: F.xxhash64("group", F.col("step") - 1, F.lit("next"), k, "at"))
+    above = meets("above", lambda k: F.xxhash64("group", "step", F.lit("next"), "at", k))
+    tiled = dealt.select("cid", F.explode(F.concat(same, below, above)).alias("bucket")).where("bucket is not null")
+    return small.unionByName(tiled)
 
 
 Bucket = tuple[int, list[bytes], list[bytes], list]
@@ -218,8 +325,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Bucket]:
         yield now, cids, values, roots
 
 
-def _by_bucket(rows: DataFrame, value: str) -> DataFrame:
-    return rows.select("bucket", "cid", value, "root").repartition("bucket").sortWithinPartitions("bucket", "cid")
+def _by_bucket(rows: DataFrame, value: str, spread: bool = False) -> DataFrame:
+    """Rows dealt by bucket; ``spread`` keeps all partitions, for buckets that take longer than their bytes tell."""
+    parts = [shuffle_partitions(rows.sparkSession)] if spread else []
+    return rows.select("bucket", "cid", value, "root").repartition(*parts, "bucket").sortWithinPartitions("bucket", "cid")
 
 
 def _closest(rows: DataFrame, least: float) -> DataFrame:
@@ -241,7 +350,7 @@ def _closest(rows: DataFrame, least: float) -> DataFrame:
     return _by_bucket(rows.withColumn("root", F.lit(None).cast("binary")), "sig").mapInArrow(lean(run), "a binary, b binary, same int")
 
 
-def _open(rows: DataFrame, least: float) -> DataFrame:
+def _open(rows: DataFrame, least: float, spread: bool = False) -> DataFrame:
     """(bucket, cid, root) of the classes that have a candidate under another root in the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,31 +365,37 @@ def _open(rows: DataFrame, least: float) -> DataFrame:
                 keep = np.flatnonzero(has)
                 yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(keep), pa.int64()), *(pa.array([x[i] for i in keep], pa.binary()) for x in (cids, roots))], ["bucket", "cid", "root"])
 
-    return _by_bucket(rows, "sig").mapInArrow(lean(run), "bucket long, cid binary, root binary")
+    return _by_bucket(rows, "sig", spread).mapInArrow(lean(run), "bucket long, cid binary, root binary")
 
 
 def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections at once, from the incidence of values in sets, in blocks of columns."""
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    sizes = np.array([len(x) for x in sets])
+    values, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # values of one set alone are in no intersection but its own
+    shared = n > 1
+    row, at = row[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
     out = np.zeros((len(sets), len(sets)))
     order = np.argsort(at, kind="stable")
     at, row = at[order], row[order]
-    for a in range(0, len(values), 1 << 15):
-        lo, hi = np.searchsorted(at, (a, a + (1 << 15)))
-        block = np.zeros((len(sets), min(1 << 15, len(values) - a)), np.float32)
+    wide, many = max(1, (1 << 22) // len(sets)), int(shared.sum())
+    for a in range(0, many, wide):
+        lo, hi = np.searchsorted(at, (a, a + wide))
+        block = np.zeros((len(sets), min(wide, many - a)), np.float32)
         block[row[lo:hi], at[lo:hi] - a] = 1
         out += block @ block.T
+    np.fill_diagonal(out, sizes)
     return out.astype(np.int64)
 
 
-def _similar_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of (bucket, cid, short, root) under different roots whose sets of short hashes are similar enough, or
-    would be if ``SLACK`` of them fell together; of pairs that surely are, as many as tie what they tie."""
+def _similar_in_buckets(rows: DataFrame, percent: int, kind: type = np.uint32, slack: int = SLACK, spread: bool = False) -> DataFrame:
+    """Pairs (a, b) of (bucket, cid, hashes, root) under different roots whose sets of hashes are similar enough, or would be
+    if ``slack`` of them fell together; of pairs that surely are, as many as tie what they tie."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, cids, data, roots in _runs(batches):
-            sets = [np.frombuffer(x, np.uint32) for x in data]
+            sets = [np.frombuffer(x, kind) for x in data]
             both = _intersections(sets)
             size = both.diagonal()
             union = size[:, None] + size[None, :] - both
@@ -295,24 +410,24 @@ def _similar_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
 
             a, b = [], []
             # the surest first, so that doubtful pairs are left only between what nothing else ties
-            i, j = np.nonzero(np.tril(excess >= -100 * SLACK, -1))
+            i, j = np.nonzero(np.tril(excess >= -100 * slack, -1))
             for k in np.argsort(-excess[i, j], kind="stable"):
                 x, y = find(roots[i[k]]), find(roots[j[k]])
                 if x == y:
                     continue
                 a.append(cids[i[k]])
                 b.append(cids[j[k]])
-                if excess[i[k], j[k]] >= 100 * SLACK:
+                if excess[i[k], j[k]] >= 100 * slack:
                     top[x] = y
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return _by_bucket(rows, "short").mapInArrow(lean(run), "a binary, b binary").distinct()
+    return _by_bucket(rows, "hashes", spread).mapInArrow(lean(run), "a binary, b binary").distinct()
 
 
-def _sets(cids: DataFrame, members: DataFrame, docs: DataFrame, short: bool = False, listed: bool = False) -> DataFrame:
+def _sets(cids: DataFrame, members: DataFrame, docs: DataFrame, short: bool = False) -> DataFrame:
     """(cid, hashes) of the classes named in ``cids``, from their documents' texts: 64-bit hashes, or their upper halves, as
-    bytes, or 64-bit hashes as a list."""
+    bytes."""
     wanted = small_side(cut(members.join(cids.distinct(), "cid", "left_semi")))
     texts = docs.join(wanted, "doc_id").select("cid", "t")
 
@@ -325,10 +440,9 @@ def _sets(cids: DataFrame, members: DataFrame, docs: DataFrame, short: bool = Fa
                 # a doc_id may have other texts too: only the set that the class is named after counts
                 keep = [i for i, h in enumerate(found) if len(h) and _set_id(h) == part.column(0)[i].as_py()]
                 out = [np.unique((found[i] >> np.uint64(32)).astype(np.uint32)) if short else found[i] for i in keep]
-                values = pa.array([x.view(np.int64) for x in out], pa.list_(pa.int64())) if listed else pa.array([x.tobytes() for x in out], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), values], ["cid", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array([x.tobytes() for x in out], pa.binary())], ["cid", "hashes"])
 
-    return texts.mapInArrow(lean(run), f"cid binary, hashes {'array<long>' if listed else 'binary'}")
+    return texts.mapInArrow(lean(run), "cid binary, hashes binary")
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -378,6 +492,25 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select("a", F.col("b").alias("root"))
 
 
+def _rest(large: DataFrame, tops: DataFrame, sigs: DataFrame, members: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame | None:
+    """(top, end): what the tops of dense regions, (cid, key), come under by the links that no window has shown."""
+    left = _unsettled(large, tops)
+    if left.isEmpty():
+        return None
+    # repeated rows of a document bring its set again
+    sets = cut(_sets(left, members, docs).dropDuplicates(["cid"]))
+    if left.limit(WHOLE + 1).count() <= WHOLE:
+        groups = sets.select("cid", F.floor(F.length("hashes") / 8).alias("size"), F.lit(0).cast("long").alias("group"))
+    else:
+        groups = _groups(_prefixes(sets, percent))
+    known = cut(sigs.join(left, "cid").join(tops.select("cid", F.col("top").alias("root")), "cid"))
+    open_ = cut(_open(_tiles(groups, percent).join(known, "cid"), least, spread=True))
+    links = _similar_in_buckets(open_.join(sets, "cid"), percent, np.uint64, 0, spread=True)
+    for end in ("a", "b"):
+        links = links.join(known.select(F.col("cid").alias(end), F.col("root").alias(f"top_{end}")), end)
+    return components(links.select(F.col("top_a").alias("a"), F.col("top_b").alias("b"))).select(F.col("a").alias("top"), F.col("root").alias("end"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", text_hash: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; with ``text_hash`` also the 64-bit hash of its text,
     which tells rows of one doc_id apart."""
@@ -388,15 +521,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     # one row for each class; repeated rows would only repeat candidates
     classes = named.join(members, ["cid", "doc_id"]).select("cid", "sig", "keys")
     share = percent / 100
-    least = SLOTS * share - 4 * (SLOTS * share * (1 - share)) ** 0.5
-    buckets = cut(_buckets(classes, members, source))
+    deviation = (SLOTS * share * (1 - share)) ** 0.5
+    least = SLOTS * share - 4 * deviation
+    buckets, large = _buckets(classes)
+    buckets = cut(buckets)
 
     best = _closest(buckets, least)
     first = cut(best.groupBy("a").agg(F.max(F.struct("same", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
     roots = _roots(_confirmed(first, members, source, percent))
     rooted = buckets.join(roots.withColumnRenamed("a", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_ = cut(_open(rooted, least))
-    short = _sets(open_.select("cid"), members, source, short=True).withColumnRenamed("hashes", "short")
+    short = _sets(open_.select("cid"), members, source, short=True)
     rest = cut(_similar_in_buckets(open_.join(short, "cid"), percent))
     links = _confirmed(rest, members, source, percent)
     under = roots.select(F.col("a").alias("x"), "root")
@@ -405,6 +540,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_
     tops = components(links).select(F.col("a").alias("root"), F.col("root").alias("top"))
     of = members.join(roots.withColumnRenamed("a", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     of = of.join(tops, "root", "left").select("cid", "doc_id", F.coalesce("top", "root").alias("top"))
+    if large is not None:
+        of = cut(of)
+        ends = _rest(large, of, classes.select("cid", "sig"), members, source, percent, least - 2 * deviation)
+        if ends is not None:
+            of = of.join(small_side(ends), "top", "left").select("cid", "doc_id", F.coalesce("end", "top").alias("top"))
     lowest = of.groupBy("top").agg(F.min("doc_id").alias("component_id"))
     of = cut(of.join(lowest, "top").select("cid", "component_id"))
     out = signed.select("doc_id", "n_shingles", "cid", "text_hash").join(of, "cid", "left")

@@ -86,6 +86,72 @@ def test_pairs_within_a_dense_region(spark):
     assert got == {i: i - i % 2 if i < 400 else i for i in range(5200)}
 
 
+def passage_cloud(n, slots=20, variants=20, seed=5):
+    """Documents of one template with passages, each of which more than a hundred have: at 0.80 to each other, at 0.856 where
+    six passages or more are the same.  Rows and the component of each."""
+    rng = random.Random(seed)
+    picks = np.array([[rng.randrange(variants) for _ in range(slots)] for _ in range(n)])
+    rows = []
+    for i, pick in enumerate(picks):
+        words = []
+        for s in range(slots):
+            words += [f"t{s}x{k}" for k in range(74)] + [f"p{s}v{pick[s]}x{k}" for k in range(5)]
+        rows.append((i, " ".join(words)))
+    hot = np.zeros((n, slots * variants), np.float32)
+    for s in range(slots):
+        hot[np.arange(n), s * variants + picks[:, s]] = 1
+    same = hot @ hot.T
+    low = list(range(n))
+    moved = True
+    while moved:
+        moved = False
+        for i, j in zip(*np.nonzero(np.tril(same >= 6, -1)), strict=True):
+            if low[i] != low[j]:
+                low[i] = low[j] = min(low[i], low[j])
+                moved = True
+    return rows, low, same
+
+
+def test_pairs_that_share_only_what_many_have(spark):
+    rows, want, same = passage_cloud(2400)
+    for v, least, most in ((5, 0.846, 0.847), (6, 0.856, 0.857)):
+        a, b = (shingles(rows[int(x[0])][1]) for x in np.nonzero(np.tril(same == v, -1)))
+        assert least < len(a & b) / len(a | b) < most
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == dict(enumerate(want))
+
+
+@pytest.mark.parametrize(("region", "block", "percent"), [(4, 8, 85), (4, 400, 85), (400, 400, 85), (4, 8, 60), (4, 8, 100)])
+def test_similar_sets_share_a_bucket_of_the_exact_join(spark, monkeypatch, region, block, percent):
+    monkeypatch.setattr(near_dup, "REGION", region)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rng = random.Random(7)
+    sets = []
+    for family in range(4):
+        base = [rng.getrandbits(62) for _ in range(100 + 20 * family)]
+        for k in range(60):
+            own = [rng.getrandbits(62) for _ in range(rng.randint(0, 12))]
+            sets.append(set(rng.sample(base, len(base) - rng.randint(0, 20 if k % 2 else 4))) | set(own))
+    # at the bound itself, and of all sizes
+    for n in (20, 40, 100, 300):
+        whole = [rng.getrandbits(62) for _ in range(n)]
+        sets += [set(whole), set(whole[: n * percent // 100])]
+    named = {near_dup._set_id(x): x for x in (np.array(sorted(x), np.uint64) for x in sets)}
+    at, sets = {c: i for i, c in enumerate(named)}, [set(x.tolist()) for x in named.values()]
+    rows = spark.createDataFrame([(c, x.tobytes()) for c, x in named.items()], "cid binary, hashes binary")
+    prefixes = near_dup._prefixes(rows, percent)
+    for groups in (near_dup._groups(prefixes), prefixes.select("cid", "size", F.col("bucket").alias("group"))):
+        met, buckets = set(), {}
+        for r in near_dup._tiles(groups, percent).collect():
+            buckets.setdefault(r.bucket, set()).add(at[bytes(r.cid)])
+        for b in buckets.values():
+            met |= {(i, j) for i in b for j in b if j < i}
+        similar = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        assert len(similar) >= 4 or percent == 100
+        assert similar <= met and len(met) < len(sets) * (len(sets) - 1) // 2
+        assert max(map(len, buckets.values()), default=0) <= max(region, 4 * block)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
