@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, small_side
+from .common import BROADCAST_ROWS, cut, lean
 
 CAPACITY = 2048
 
@@ -35,9 +35,16 @@ SHARE, SHARES_MOST = 100_000, 4096
 #: were met first, which are the frequent ones.
 CACHE, CACHE_KEEPS = 450_000, 300_000
 
-#: Longer chunks are encoded each time they come, so what a worker remembers is bounded in bytes too.
+#: Longer chunks are encoded each time they come.
 CACHE_CHARS = 256
 
+#: Characters of the remembered chunks together, and how many of them stay when there is no more room, so what a worker
+#: remembers is bounded in bytes too.
+CACHE_TEXT, CACHE_TEXT_KEEPS = 12_000_000, 8_000_000
+
+#: Characters of the texts whose chunks are held at once; a longer text is encoded alone.
+TEXTS = 1_000_000
+
 # In texts of these characters only, the tokenizer's normal form is the lower case, and its words never cross a space.
 _NOT_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]")
 _PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u024f]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\u024f]+")
@@ -64,19 +71,28 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.held = 0  # characters of what is remembered
         self.passing: list[str] = []
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _forget(self) -> None:
+        if len(self.known) <= CACHE and self.held <= CACHE_TEXT:
+            return
+        sums = list(itertools.accumulate(map(len, itertools.islice(self.known, CACHE_KEEPS))))
+        keeps = bisect.bisect_right(sums, CACHE_TEXT_KEEPS)
+        for c in list(itertools.islice(self.known, keeps, None)):
+            del self.known[c]
+        self.held = sums[keeps - 1] if keeps else 0
+
     def _learn(self, chunks: set[str]) -> None:
         for c in self.passing:
             del self.known[c]
-        if len(self.known) > CACHE:
-            for c in list(itertools.islice(self.known, CACHE_KEEPS, None)):
-                del self.known[c]
+        self._forget()
         new = [c for c in chunks if c not in self.known]
         self.passing = [c for c in new if len(c) > CACHE_CHARS]
+        self.held += sum(map(len, new)) - sum(map(len, self.passing))
         if not new:
             return
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
@@ -93,6 +109,17 @@ class Encoder:
             at = stop
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        some: list[str] = []
+        held = 0
+        for t in texts:
+            if some and held + len(t) > TEXTS:
+                yield from self._encode(some)
+                some, held = [], 0
+            some.append(t)
+            held += len(t)
+        yield from self._encode(some)
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
         parts = [None if _NOT_PLAIN.search(t) or "<|" in t else t.lower().split() for t in texts]
         self._learn(set().union(*(p for p in parts if p is not None)))
         for t, p in zip(texts, parts, strict=True):
@@ -269,17 +296,18 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (with a column length, 1 to capacity) with sequence_id and offset."""
     sized = cut(cut_pieces)
-    total = sized.count()
-    shares = int(min(SHARES_MOST, max(16, total // SHARE)))
+    # at most ``capacity`` rows come to the driver
+    histogram = {r.length: r.n for r in sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    solved = plan(histogram, capacity)
+    shares = int(min(SHARES_MOST, max(16, sum(histogram.values()) // SHARE)))
     sized = sized.withColumn("_share", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shares)))
-    by_share = cut(sized.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n")))
+    by_share = sized.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_share").rowsBetween(Window.unboundedPreceding, -1)
     base = by_share.select("length", "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    # at most ``capacity`` rows come to the driver
-    histogram = {r.length: r.n for r in by_share.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    solved = plan(histogram, capacity)
+    if len(histogram) * shares <= BROADCAST_ROWS:
+        base = F.broadcast(base)
     ranked = sized.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_share").orderBy("doc_id", "piece")))
-    ranked = ranked.join(small_side(base), ["length", "_share"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_base")).drop("_share", "_base")
+    ranked = ranked.join(base, ["length", "_share"]).withColumn("_rank", F.col("_rank") - 1 + F.col("_base")).drop("_share", "_base")
     names = [c for c in cut_pieces.columns]
     ranked = ranked.select(*names, "_rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut_pieces.schema) + ", sequence_id long, offset long"
