@@ -115,6 +115,14 @@ def test_urls(spark):
     assert filter_urls(pages.limit(0), keep=["page_id"]).count() == 0
 
 
+def test_verdicts_of_the_contract(spark):
+    # each rule alone, then the two that are longer than another that fits
+    said = {"x://com/en/": "block", "x://net/de/": "allow", "x://org/es/": "block", "x://example.com/en/7": "allow", "x://example.net/de/8": "block", "x://example.net/de/7": "allow", "x://org/": "allow"}
+    pages = spark.createDataFrame([(u,) for u in said], "url string")
+    assert {r.url: r.verdict for r in filter_urls(pages, keep=["url"]).collect()} == said
+    assert set(RULES) == {("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = [hashlib.md5(str(i).encode()).hexdigest() for i in range(3000)]
     universe = spark.createDataFrame([(k,) for k in keys], "key string")
