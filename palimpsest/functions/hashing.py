@@ -136,6 +136,11 @@ def ancestor_revs(start: Column, ids: Column) -> Column:
     return F.array_compact(revs)
 
 
+def plain_base64(data: Column) -> Column:
+    """Base64 in one line: Spark's own is broken after each 76 characters, which ``strict_base64`` does not take."""
+    return F.regexp_replace(F.base64(data), r"[\r\n]", "")
+
+
 def strict_base64(text: Column) -> Column:
     """Bytes of well-formed base64; null where the text is anything else."""
     good = text.rlike(r"\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")

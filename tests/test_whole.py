@@ -76,3 +76,11 @@ def test_segments_of_all_documents_with_their_postings(spark, corpus):
         want.append((n, str(d), md5(TEXTS[d]), len(TEXTS[d]), len(words), str(sum(words))))
     assert sorted(tuple(r) for r in QUERIES["segment_compact"](spark, corpus).collect()) == want
     assert sorted(tuple(r) for r in QUERIES["fresh_hits"](spark, corpus).collect()) == sorted((str(d), md5(TEXTS[d])) for d in TEXTS if d % 4)
+
+
+def test_base64_of_many_bytes_is_one_line(spark, tmp_path):
+    # 40 characters of three bytes each: their base64 has more than the 76 characters that Spark puts in a line
+    texts = {0: "語" * 50, 5: "a", 6: "語" * 50}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.digest for r in QUERIES["base64_strict"](spark, f"{tmp_path}").collect()}
+    assert got == {d: hashlib.md5(t[:40].encode()).hexdigest() if d % 5 == 0 else None for d, t in texts.items()}
