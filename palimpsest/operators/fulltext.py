@@ -7,10 +7,16 @@ aggregate, and a search is scan, join on doc_id, aggregate and top-k.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.tokens import FIELD_WEIGHTS, ascii_tokens, index_tokens, normal_length, phrases, query_phrases
 from ..session import numbered
@@ -52,6 +58,70 @@ def row_postings(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
     return rows.select(F.col("_p.term").alias("term"), *keys, F.col("_p.positions").alias("positions"), F.size("_p.positions").cast("bigint").alias("tf"))
 
 
+#: The words of ``ascii_tokens`` in a text that is lower-cased already.
+_WORD = re.compile(r"[a-z0-9_]+")
+
+#: Characters of texts whose words are in Python's memory at once, beyond a single longer text.
+BATCH_CHARS = 2_000_000
+
+
+@F.pandas_udf(T.IntegerType())
+def n_words(text: pd.Series) -> pd.Series:
+    """How many words a lower-cased text has by the ASCII analyzer."""
+    return text.map(lambda t: len(_WORD.findall(t)) if t else 0)
+
+
+def _grouped(rows: list[int], words: list[list[str]]) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]:
+    """Of texts as words, per term of each: the term, its text's row, the text's words, the term's positions."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    coded = pa.array(list(itertools.chain.from_iterable(words)), pa.string()).dictionary_encode()
+    owner = np.repeat(np.arange(len(words)), sizes)
+    position = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    # text, term and position in one number, so that plain sorting groups them; 64 bits hold those of any batch
+    kinds, most = len(coded.dictionary), int(sizes.max())
+    assert len(words) * kinds * most < 2**63
+    packed = np.sort((owner * kinds + coded.indices.to_numpy()) * most + position)
+    run = packed // most
+    first = np.flatnonzero(np.diff(run, prepend=-1))
+    positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(run)), pa.int32()), pa.array(packed - run * most, pa.int32()))
+    owner, term = np.divmod(run[first], kinds)
+    return coded.dictionary.take(pa.array(term)), np.asarray(rows)[owner], sizes[owner], positions
+
+
+def field_postings(docs: DataFrame, keys: Sequence[str], fields: dict[str, str]) -> DataFrame:
+    """(term, *keys, field, length, positions) by the ASCII analyzer, where each row is a document of its own; ``fields``
+    names the text column of each field.  In Arrow batches, without a shuffle: columns of words are coded, sorted and
+    grouped as numbers."""
+    types = {f.name: f.dataType for f in docs.schema}
+    schema = T.StructType([T.StructField("term", T.StringType()), *(T.StructField(k, types[k]) for k in keys), T.StructField("field", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+    names, kept = list(fields), list(keys)
+
+    def table(batch: pa.RecordBatch, field: str, rows: list[int], words: list[list[str]]) -> pa.RecordBatch:
+        term, row, length, positions = _grouped(rows, words)
+        own = [batch.column(k).take(pa.array(row)) for k in kept]
+        return pa.RecordBatch.from_arrays([term, *own, pa.array([field], pa.string()).take(pa.array(np.zeros(len(row), np.int64))), pa.array(length, pa.int32()), positions], schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, field in enumerate(names):
+                rows, words, chars = [], [], 0
+                for i, text in enumerate(batch.column(len(kept) + n)):
+                    found = _WORD.findall(text.as_py() or "")
+                    if not found:
+                        continue
+                    size = sum(map(len, found))
+                    if rows and chars + size > BATCH_CHARS:
+                        yield table(batch, field, rows, words)
+                        rows, words, chars = [], [], 0
+                    rows.append(i)
+                    words.append(found)
+                    chars += size
+                if rows:
+                    yield table(batch, field, rows, words)
+
+    return docs.select(*kept, *(F.lower(F.col(c)).alias(f"_t{n}") for n, c in enumerate(fields.values()))).mapInArrow(run, schema)
+
+
 def term_df(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
     """(term, df, cf): documents that have the term, and occurrences."""
     return tokens.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))

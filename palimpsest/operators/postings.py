@@ -1,9 +1,14 @@
 """A stored inverted index: segments of postings, written once and read by term.
 
-A segment is a folder of documents (path, hash, chars, lengths) and one of postings, which are dealt into ``BUCKETS`` by
-term and sorted by term within, so a query opens the buckets of its terms and of those the row groups that hold them.  A
-posting carries the length of its field, so scores need no other table.  A term of any frequency is in one bucket but in
-as many files as the segment has parts.
+A segment is a folder of documents (path, hash, chars, lengths, doc) and one of postings, in parts of about ``PART_CHARS``
+of text that are each sorted by the hash of the term, so a query reads the pages that hold its terms.  A document's postings
+are in one part, made and sorted in the task that has its text: no posting is shuffled.  Merged segments are copied part by
+part, without those of documents that no longer count; only segments smaller than a part are dealt and sorted anew.  A posting carries the length of its
+field, so scores need no other table, and the number of its document in the segment.
+
+Documents of older segments that no longer count are told by one bit for each number, 64 in a row of a table that is
+broadcast (about a row's size for each 64 dead documents, never more than one for each 64 documents), so postings are
+filtered where they are read.
 
 A version of the index names its segments, the oldest first, and its totals.  Later segments replace what earlier ones have
 under the same path; a document without a hash is a deletion.  Totals are kept up by what each append adds and replaces, so
@@ -22,25 +27,39 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.tokens import FIELD_WEIGHTS, ascii_tokens
+from ..functions.tokens import FIELD_WEIGHTS
 from ..session import cut
 from . import fulltext
 from .heads import Heads
 
-BUCKETS = 64
-
 #: Names the layout and the analyzer: an index of another one is not read.
-LAYOUT = "2-ascii"
+LAYOUT = "3-ascii"
 
-#: Characters that one part of a segment's postings is made of, about.
-PART_CHARS = 64_000_000
+#: Characters that one part of a segment's postings is made of, about: some 3 million postings, which one task sorts.
+PART_CHARS = 24_000_000
 
 #: More segments than these are merged, the smallest first, up to so many characters in one.
 SEGMENTS, SEGMENT_CHARS = 8, 16_000_000_000
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _parts(chars: int) -> int:
+    return max(1, -(-chars // PART_CHARS))
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """Numbered by partition and place in it: 33 bits for the place."""
+    return rows.withColumn("_at", F.monotonically_increasing_id())
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``doc`` from 0 on, without holes, from the ``_at`` of rows that were kept; the driver sees one count per partition."""
+    part = F.shiftright("_at", 33)
+    starts, at = [], 0
+    for r in sorted(rows.groupBy(part.alias("part")).count().collect()):
+        starts.append((r["part"], at - (r["part"] << 33)))
+        at += r["count"]
+    before = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    return rows.withColumn("_part", part).join(before, "_part").withColumn("doc", F.col("_at") + F.col("_start")).drop("_part", "_start", "_at")
 
 
 class SegmentIndex:
@@ -65,27 +84,26 @@ class SegmentIndex:
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*self._folder(kind, segments))
 
     def _docs(self, segments: Sequence[dict]) -> DataFrame:
-        return self._read("docs", f"path {self.path_type}, hash string, chars long, lengths map<string,int>, segment string", segments)
+        return self._read("docs", f"path {self.path_type}, hash string, chars long, lengths map<string,int>, doc long, segment string", segments)
 
     def _postings(self, segments: Sequence[dict], terms: Sequence[str] | None = None) -> DataFrame:
-        """All postings, or those of some terms, of which only the buckets are listed."""
-        schema = f"term string, path {self.path_type}, field string, length int, positions array<int>, segment string, bucket int"
+        """All postings, or those of some terms, of which only the pages with their hashes are read."""
+        rows = self._read("postings", f"term string, path {self.path_type}, field string, length int, positions array<int>, doc long, term_hash long, segment string", segments)
         if terms is None:
-            return self._read("postings", schema, segments)
-        buckets = {f"bucket={r[0]}" for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).collect()}
-        folders = [f"{folder}/{name}" for folder in self._folder("postings", segments) for name in self.heads.names(folder) if name in buckets]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/postings").parquet(*folders).where(F.col("term").isin(list(terms)))
+            return rows
+        return rows.where(F.col("term_hash").isin(*(F.xxhash64(F.lit(t)) for t in terms)) & F.col("term").isin(list(terms)))
+
+    def _placed(self, segments: Sequence[dict]) -> DataFrame:
+        """All documents, those of a path numbered in ``_n`` from its last one on."""
+        place = F.create_map(*(F.lit(x) for i, s in enumerate(segments) for x in (s["name"], i)))
+        last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.element_at(place, F.col("segment")))))
+        return self._docs(segments).withColumn("_n", last)
 
     def _live(self, segments: Sequence[dict]) -> DataFrame:
         """The documents that count: each path's last, if that is not its deletion."""
-        docs = self._docs(segments)
         if len(segments) <= 1:
-            return docs.where(F.col("hash").isNotNull())
-        place = F.create_map(*(F.lit(x) for i, s in enumerate(segments) for x in (s["name"], i)))
-        last = F.row_number().over(Window.partitionBy("path").orderBy(F.desc(F.element_at(place, F.col("segment")))))
-        return docs.withColumn("_n", last).where((F.col("_n") == 1) & F.col("hash").isNotNull()).drop("_n")
+            return self._docs(segments).where(F.col("hash").isNotNull())
+        return self._placed(segments).where((F.col("_n") == 1) & F.col("hash").isNotNull()).drop("_n")
 
     def documents(self) -> DataFrame:
         """(path, hash, chars, lengths) of the current version."""
@@ -95,16 +113,17 @@ class SegmentIndex:
         """Postings of documents that count."""
         if len(segments) <= 1:
             return rows
-        return rows.join(self._live(segments).select("segment", "path"), ["segment", "path"], "left_semi")
+        dead = self._placed(segments).where((F.col("_n") > 1) & F.col("hash").isNotNull())
+        bits = dead.groupBy("segment", F.shiftright("doc", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, int(doc % 64)))").alias("_bits"))
+        found = rows.withColumn("_word", F.shiftright("doc", 6)).join(F.broadcast(bits), ["segment", "_word"], "left")
+        return found.where(F.coalesce(F.getbit("_bits", (F.col("doc") % 64).cast("int")), F.lit(0)) == 0).drop("_word", "_bits")
 
     # writing
 
-    def _write(self, docs: DataFrame, postings: DataFrame, name: str, chars: int) -> None:
-        docs.write.parquet(f"{self.root}/docs/segment={name}")
-        parts = max(1, -(-chars // PART_CHARS))
-        dealt = postings.withColumn("bucket", _bucket(F.col("term")))
-        dealt = dealt.repartition(max(1, min(BUCKETS, 8) if parts == 1 else parts), "bucket", F.pmod(F.xxhash64("path"), F.lit(parts))).sortWithinPartitions("bucket", "term", "path")
-        dealt.write.partitionBy("bucket").parquet(f"{self.root}/postings/segment={name}")
+    def _write(self, docs: DataFrame, postings: DataFrame, name: str) -> None:
+        """``postings`` as they are dealt and ordered: a partition is a part."""
+        docs.select("path", "hash", "chars", "lengths", "doc").write.parquet(f"{self.root}/docs/segment={name}")
+        postings.select("term", "path", "field", "length", "positions", "doc", "term_hash").write.parquet(f"{self.root}/postings/segment={name}")
 
     @staticmethod
     def _totals(docs: DataFrame, fields: Sequence[str]) -> dict[str, int]:
@@ -125,26 +144,24 @@ class SegmentIndex:
             return now
         live = cut(self._live(now["segments"]))
         newest = F.row_number().over(Window.partitionBy("path").orderBy(F.desc_nulls_last("hash")))
-        given = notes.select(F.col("path").cast(self.path_type).alias("path"), "hash", *(F.col(f).alias(f"_f{i}") for i, f in enumerate(self.fields)))
+        texts = [f"_f{i}" for i in range(len(self.fields))]
+        given = notes.select(F.col("path").cast(self.path_type).alias("path"), "hash", *(F.when(F.col("hash").isNotNull(), F.coalesce(f, F.lit(""))).otherwise(F.lit("")).alias(t) for f, t in zip(self.fields, texts, strict=True)))
         asked = given.withColumn("_n", newest).where("_n = 1").drop("_n").join(live.select("path", F.col("hash").alias("_old")), "path", "left")
-        changed = cut(asked.where(~F.col("hash").eqNullSafe(F.col("_old"))))
+        changed = cut(_within(asked.where(~F.col("hash").eqNullSafe(F.col("_old"))).drop("_old")))
         if changed.isEmpty():
             return self._put(now, now["segments"], now["totals"], batch)
-        texts = [F.when(F.col("hash").isNotNull(), F.coalesce(f"_f{i}", F.lit(""))).otherwise(F.lit("")) for i in range(len(self.fields))]
-        sizes = F.create_map(*(x for f, t in zip(self.fields, texts, strict=True) for x in (F.lit(f), F.size(ascii_tokens(t)))))
+        changed = _numbered(changed)
+        sizes = F.create_map(*(x for f, t in zip(self.fields, texts, strict=True) for x in (F.lit(f), fulltext.n_words(F.lower(t)))))
         chars = sum((F.length(t).cast("bigint") for t in texts), F.lit(0).cast("bigint"))
-        docs = cut(changed.select("path", "hash", chars.alias("chars"), sizes.alias("lengths")))
-        rows = None
-        for i, f in enumerate(self.fields):
-            own = changed.where("hash is not null").select("path", F.lit(f).alias("field"), F.size(ascii_tokens(F.col(f"_f{i}"))).alias("length"), F.col(f"_f{i}").alias("_text"))
-            own = fulltext.row_postings(own, ["path", "field", "length"], "_text").select("term", "path", "field", "length", "positions")
-            rows = own if rows is None else rows.unionByName(own)
+        docs = cut(changed.select("path", "hash", chars.alias("chars"), sizes.alias("lengths"), "doc"))
         added = self._totals(docs.where("hash is not null"), self.fields)
         gone = self._totals(live.join(docs.select("path"), "path", "left_semi"), self.fields)
         name = uuid.uuid4().hex
-        self._write(docs, rows, name, added["chars"])
+        own = changed.where("hash is not null").repartition(_parts(added["chars"]), "path")
+        rows = fulltext.field_postings(own, ["path", "doc"], dict(zip(self.fields, texts, strict=True))).withColumn("term_hash", F.xxhash64("term"))
+        self._write(docs, rows.sortWithinPartitions("term_hash"), name)
         totals = {k: v + added[k] - gone[k] for k, v in now["totals"].items()}
-        return self._put(now, [*now["segments"], {"name": name, "docs": added["docs"], "chars": added["chars"]}], totals, batch)
+        return self._put(now, [*now["segments"], {"name": name, "docs": added["docs"], "chars": added["chars"], "numbers": docs.count()}], totals, batch)
 
     def merge(self, names: Sequence[str] | None = None) -> dict:
         """The named segments, or what ``plan`` names, as one in the place of the last of them: documents that no longer count
@@ -159,13 +176,25 @@ class SegmentIndex:
         whole = len(chosen) == len(now["segments"])
         live = self._live(now["segments"]).join(F.broadcast(self.spark.createDataFrame([(s["name"],) for s in chosen], "segment string")), "segment")
         deleted = self._docs(chosen).where("hash is null").join(live.select("path"), "path", "left_anti").dropDuplicates(["path"])
-        docs = live.drop("segment") if whole else live.drop("segment").unionByName(deleted.drop("segment"))
-        docs = cut(docs.select("path", "hash", "chars", "lengths"))
-        rows = self._postings(chosen).join(live.select("segment", "path"), ["segment", "path"], "left_semi").select("term", "path", "field", "length", "positions")
+        # a segment's numbers come after those of the ones before it
+        starts, at = [], 0
+        for s in chosen:
+            starts += [F.lit(s["name"]), F.lit(at).cast("long")]
+            at += s["numbers"]
+        renumbered = F.col("doc") + F.element_at(F.create_map(*starts), F.col("segment"))
+        docs = (live if whole else live.unionByName(deleted)).withColumn("doc", renumbered).drop("segment")
+        docs = cut(docs)
         size = self._totals(docs.where("hash is not null"), self.fields)
         name = uuid.uuid4().hex
-        self._write(docs, rows, name, size["chars"])
-        merged = [*now["segments"][: places[0]], {"name": name, "docs": size["docs"], "chars": size["chars"]}, *now["segments"][places[-1] + 1 :]]
+        # segments of whole parts keep them as sorted runs, so their postings are neither shuffled nor sorted; those of small
+        # ones are sorted together
+        alive = lambda own: self._alone(self._postings(own), now["segments"]).withColumn("doc", renumbered)
+        small = [s for s in chosen if s["chars"] < PART_CHARS]
+        rows = alive(small).repartition(_parts(sum(s["chars"] for s in small)), "path").sortWithinPartitions("term_hash") if small else None
+        if large := [s for s in chosen if s["chars"] >= PART_CHARS]:
+            rows = alive(large) if rows is None else alive(large).unionByName(rows)
+        self._write(docs, rows, name)
+        merged = [*now["segments"][: places[0]], {"name": name, "docs": size["docs"], "chars": size["chars"], "numbers": at}, *now["segments"][places[-1] + 1 :]]
         return self._put(now, merged, now["totals"], f"merge-{name}")
 
     def plan(self) -> list[str]:
@@ -200,7 +229,9 @@ class SegmentIndex:
         """(term, df, cf) of the current version."""
         segments = self.version()["segments"]
         rows = self._alone(self._postings(segments), segments)
-        by_doc = rows.groupBy("term", "path").agg(F.sum(F.size("positions")).alias("n"))
+        found = rows.select("term", "path", F.size("positions").cast("long").alias("n"))
+        # with one field a document that counts has one posting of a term
+        by_doc = found if len(self.fields) == 1 else found.groupBy("term", "path").agg(F.sum("n").alias("n"))
         return by_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
     def search(self, wanted: Sequence[Sequence[tuple[str, int]]], limit: int | None = 10, weights: dict[str, float] | None = None, accept: Column | None = None, validate: DataFrame | None = None, fields: Sequence[str] | None = None, by_words: bool = False) -> DataFrame:
