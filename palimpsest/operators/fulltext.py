@@ -222,7 +222,8 @@ def merge_segments(segment_docs: DataFrame, segment_postings: DataFrame, live: D
     kept = kept.withColumn("_n", first).where("_n = 1").drop("_n")
     placed = numbered(kept, "new_doc", "segment", "doc").withColumn("new_doc", F.col("new_doc").cast("int"))
     docs = placed.select(F.lit(into).alias("segment"), F.col("new_doc").alias("doc"), "path", "hash", "chars")
-    moved = segment_postings.join(placed.select("segment", "doc", "new_doc"), ["segment", "doc"]).select(F.lit(into).alias("segment"), "term", F.col("new_doc").alias("doc"), "positions")
+    # a hash join: a merge join would sort all postings, and spill them
+    moved = segment_postings.join(placed.select("segment", "doc", "new_doc").hint("shuffle_hash"), ["segment", "doc"]).select(F.lit(into).alias("segment"), "term", F.col("new_doc").alias("doc"), "positions")
     return docs, moved
 
 

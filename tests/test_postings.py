@@ -121,3 +121,12 @@ def test_postings_in_batches_equal_those_of_columns(spark, monkeypatch, most):
         want += [(r.term, r.id, field, r.length, r.positions) for r in fulltext.row_postings(sized, ["id", "length"], c).collect()]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert [tuple(r) for r in docs.select(fulltext.n_words(F.lower("a"))).collect()] == [(r[0] or 0,) for r in docs.select(F.greatest(F.size(ascii_tokens(F.col("a"))), F.lit(0))).collect()]
+
+
+def test_merged_postings_are_not_sorted(spark):
+    docs = spark.createDataFrame([("a", 1, "p", "h", 3), ("b", 1, "p", "h", 3), ("b", 2, "q", "h", 3)], "segment string, doc long, path string, hash string, chars long")
+    posts = spark.createDataFrame([("a", "x", 1, [0]), ("b", "x", 1, [0]), ("b", "y", 2, [0])], "segment string, term string, doc long, positions array<int>")
+    _, moved = fulltext.merge_segments(docs, posts, docs.select("path", "hash").distinct())
+    plan = moved._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r.term, r.doc) for r in moved.collect()) == [("x", 0), ("y", 1)]
